@@ -423,8 +423,8 @@ def _(x):
 @query(
     "ag_16_row_normalised_cross_tab",
     "region customer_value_band row_share:f",
-    """SELECT region, customer_value_band, count(*) / sum(count(*)) OVER (PARTITION BY region) AS row_share
-       FROM m_customer GROUP BY ALL""",
+    """SELECT region, customer_value_band, n / sum(n) OVER (PARTITION BY region) AS row_share
+       FROM (SELECT region, customer_value_band, count(*) AS n FROM m_customer GROUP BY 1, 2)""",
 )
 def _(x):
     return A.row_shares(x.mart("customer_features"), "region", "customer_value_band")

@@ -59,3 +59,9 @@ def action(churn: str = "churn_prob", uplift: str = "uplift_ite", segment: str =
         .when(responds, GROWTH)
         .otherwise(MONITOR)
     )
+
+
+def top_ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of a global order with their rank (a bounded top-k, then a small window)."""
+    top = df.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -110,8 +110,8 @@ def _pairs_long(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     cells = F.array(
         *[
             F.struct(
-                F.lit(a).alias("left"),
-                F.lit(b).alias("right"),
+                F.lit(a).alias("left_col"),
+                F.lit(b).alias("right_col"),
                 F.col(a).cast("double").alias("x"),
                 F.col(b).cast("double").alias("y"),
             )
@@ -126,7 +126,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("correlation"))
+        F.struct(F.lit(a).alias("left_col"), F.lit(b).alias("right_col"), F.col(f"c{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)
     ]
     return one.select(F.inline(F.array(*rows)))
@@ -137,7 +137,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int =
 
     Equal (x, y) rows are counted first; ranks are average ranks of the value counts.
     """
-    keys = ["left", "right"]
+    keys = ["left_col", "right_col"]
     points = _pairs_long(df, pairs).groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
 
     def ranks(axis: str) -> DataFrame:
@@ -167,7 +167,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int =
 def drop_correlated(pairs: DataFrame, columns: Sequence[str], limit: float = 0.90) -> list[str]:
     """Columns to remove: walking the list, a column goes when an earlier kept one correlates."""
     high = {
-        (r["left"], r["right"]) for r in pairs.filter(F.abs("correlation") >= limit).select("left", "right").collect()
+        (r["left_col"], r["right_col"]) for r in pairs.filter(F.abs("correlation") >= limit).select("left_col", "right_col").collect()
     }
     dropped: list[str] = []
     for i, c in enumerate(columns):
