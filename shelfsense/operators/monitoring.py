@@ -39,7 +39,7 @@ def stability_index(df: DataFrame, columns: Sequence[str], current: Column, bins
     counts = tagged.groupBy("feature", step.alias("bin")).agg(
         F.count_if(~F.col("cur")).alias("ref"), F.count_if("cur").alias("now")
     )
-    grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     full = grid.join(counts, ["feature", "bin"], "left")
     p = F.greatest(F.coalesce("ref", F.lit(0)) / F.col("n_ref"), F.lit(1e-4))
     q = F.greatest(F.coalesce("now", F.lit(0)) / F.col("n_cur"), F.lit(1e-4))

@@ -269,3 +269,11 @@ def similar_items(features: DataFrame, item: Column | str, k: int = 10) -> DataF
         .orderBy(F.round("cosine", 9).desc(), "product_id")
         .limit(k)
     )
+
+
+def top_k(scored: DataFrame, exclude: DataFrame, score: str, k: int = 10) -> DataFrame:
+    """Best ``k`` items per user outside the exclusion pairs, ties by product id."""
+    w = Window.partitionBy("customer_id").orderBy(F.col(score).desc(), "product_id")
+    free = scored.join(exclude, PAIR, "left_anti")
+    # The rank filter lets Spark keep k rows per user in each map task.
+    return free.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
