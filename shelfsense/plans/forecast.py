@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.operators import ordered
+from shelfsense.functions.columns import refuse_columns
+from shelfsense.operators import ordered, splits
 from shelfsense.operators.evaluation import forecast_errors
+from shelfsense.operators.joins import with_scalar
 from shelfsense.operators.quality import union_all
+from shelfsense.plans import features as FT
+from shelfsense.plans import training as T
 
 
 def naive_columns(df: DataFrame, label: str = "units_sold") -> DataFrame:
@@ -28,7 +33,45 @@ def naive_comparison(scored: DataFrame, columns: dict[str, str], model: str, lab
     ]
     table = union_all(rows)
     best = table.filter(F.col("forecast") == model).select(F.col("mae").alias("model_mae"))
-    from shelfsense.operators.joins import with_scalar
-
     t = with_scalar(table, best, "model_mae")
     return t.withColumn("mae_gain_pct", F.when(F.col("mae") > 0, (F.col("mae") - F.col("model_mae")) / F.col("mae") * 100))
+
+
+# --- models ------------------------------------------------------------------------------
+
+
+def training_table(mart: DataFrame, split_week: str) -> DataFrame:
+    """Lag features over whole series, then the split, then means learned on the train side."""
+    refuse_columns(FT.FORECAST_NUMERIC + FT.FORECAST_CATEGORICAL, FT.FORECAST_FORBIDDEN)
+    rows = splits.at_week(FT.forecast_features(mart), split_week)
+    return FT.attach_series_means(rows, rows.filter("not is_test"))
+
+
+def _train_rows(table: DataFrame) -> DataFrame:
+    """Training rows of series with enough weeks; the newest 15% of weeks are for validation."""
+    train = FT.drop_short_series(table.filter("not is_test"))
+    return splits.by_week_share(train, 0.85, name="is_validation")
+
+
+def fit_boosted(table: DataFrame, iterations: int = 100) -> T.Fitted:
+    est = T.boosted_regressor("units_sold", iterations, validationIndicatorCol="is_validation")
+    return T.fit(_train_rows(table), est, FT.FORECAST_NUMERIC, FT.FORECAST_CATEGORICAL, probability=False)
+
+
+def fit_tweedie(table: DataFrame) -> T.Fitted:
+    """Tweedie regression with a log link (variance power 1.5)."""
+    est = GeneralizedLinearRegression(
+        family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="units_sold", maxIter=50, regParam=0.1
+    )
+    return T.fit(_train_rows(table), est, FT.FORECAST_NUMERIC, FT.FORECAST_CATEGORICAL, linear=True, probability=False)
+
+
+def fit_forest(table: DataFrame, trees: int = 100) -> T.Fitted:
+    est = RandomForestRegressor(labelCol="units_sold", numTrees=trees, maxDepth=8, maxBins=64, seed=42)
+    return T.fit(_train_rows(table), est, FT.FORECAST_NUMERIC, FT.FORECAST_CATEGORICAL, probability=False)
+
+
+def score(model: T.Fitted, table: DataFrame, name: str) -> DataFrame:
+    """Forecasts of the test rows, never below zero."""
+    out = model.score(table.filter("is_test"), name)
+    return out.withColumn(name, F.greatest(F.col(name), F.lit(0.0)))
