@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["marts", "basics", "joins_aggs", "windows", "quality", "feature_sets", "statistics", "evaluation", "recommendation"]
+MODULES = ["marts", "basics", "joins_aggs", "windows", "quality", "feature_sets", "statistics", "evaluation", "recommendation", "models"]
 
 
 def load():

@@ -8,7 +8,9 @@ from shelfsense.operators import ordered
 from shelfsense.plans import features as FT
 from shelfsense.plans import marts as M
 
-_SERIES = Window.partitionBy("product_id", "store_id_or_online").orderBy("week_start_date")
+
+def _series():
+    return Window.partitionBy("product_id", "store_id_or_online").orderBy("week_start_date")
 
 
 @query(
@@ -66,7 +68,7 @@ def _(x):
 )
 def _(x):
     d = x.mart("product_demand")
-    return d.withColumns({"lag1": F.lag("units_sold", 1).over(_SERIES), "lag4": F.lag("units_sold", 4).over(_SERIES)})
+    return d.withColumns({"lag1": F.lag("units_sold", 1).over(_series()), "lag4": F.lag("units_sold", 4).over(_series())})
 
 
 @query(
@@ -88,7 +90,7 @@ def _(x):
        WINDOW w AS (PARTITION BY product_id, store_id_or_online ORDER BY week_start_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
 )
 def _(x):
-    w = _SERIES.rowsBetween(-3, 0)
+    w = _series().rowsBetween(-3, 0)
     return x.mart("product_demand").withColumns({"mean4": F.avg("units_sold").over(w), "sum4": F.sum("net_revenue").over(w)})
 
 
