@@ -344,3 +344,14 @@ def _(x):
         F.struct(F.lit("min").alias("kind"), F.col("c").alias("region"), F.col("d").alias("revenue")),
     )
     return one.select(F.inline(rows))
+
+
+@query(
+    "udf_01_grouped_transform",
+    "product_id store_id_or_online week_start_date:d roll_3w_max:i",
+    """SELECT product_id, store_id_or_online, week_start_date, max(units_sold) OVER (PARTITION BY product_id, store_id_or_online
+       ORDER BY week_start_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS roll_3w_max FROM w_demand""",
+)
+def _(x):
+    back = _series().rowsBetween(-3, -1)
+    return x.mart("product_demand").withColumn("roll_3w_max", F.max("units_sold").over(back))

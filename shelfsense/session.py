@@ -60,4 +60,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def chunk_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range chunks of an ordered job: the session's shuffle width (one JVM needs no more than
+    a few per thread)."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        width = min(width, 2 * context.defaultParallelism)
+    return max(1, width)
