@@ -35,6 +35,9 @@ class Space:
         self._marts: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
+        """A raw table; those the adapter has to aggregate or join are written once."""
+        if name in standin.COMPUTED:
+            return self.stored(f"raw_{name}", lambda: standin.RAW_TABLES[name](self.given))
         return standin.RAW_TABLES[name](self.given)
 
     @cached_property

@@ -12,6 +12,7 @@ The order columns must end in a unique one wherever ties would change the result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -265,7 +266,71 @@ def quantiles_wide(
     return long.groupBy(*keys).agg(*cells)
 
 
-def quantile_values(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
-    """Exact quantiles of whole columns as plain numbers (one row per column is collected)."""
+def quantile_values(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bracket_above: int = 5_000_000
+) -> dict[str, list[float]]:
+    """Exact quantiles of whole columns as plain numbers (one row per column is collected).
+
+    Above ``bracket_above`` rows a sketch first brackets each quantile, and only the values inside
+    the brackets are shuffled and ordered.
+    """
+    if df.count() > bracket_above:
+        found = _bracketed(df, columns, probabilities)
+        if found is not None:
+            return found
     rows = quantiles(df, columns, probabilities).collect()
     return {r["column"]: [r[f"q{i}"] for i in range(len(probabilities))] for r in rows}
+
+
+def _bracketed(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], error: float = 1e-3
+) -> dict[str, list[float]] | None:
+    """Exact quantiles from the values between two sketched ones; None if a bracket misses."""
+    cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    probs = [float(p) for p in probabilities]
+    ends = [q for p in probs for q in (max(0.0, p - 2 * error), min(1.0, p + 2 * error))]
+    sketch = cast.approxQuantile(list(columns), ends, error)
+    brackets = {}
+    for c, values in zip(columns, sketch):
+        for i, p in enumerate(probs if values else []):
+            lo = values[2 * i] if p > 2 * error else float("-inf")
+            hi = values[2 * i + 1] if p < 1 - 2 * error else float("inf")
+            brackets[(c, i)] = (lo, hi)
+    if not brackets:
+        return {}
+    # One pass counts what lies below each bracket.
+    counted = cast.agg(
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.count_if(F.col(c) < F.lit(lo)).alias(f"b_{c}_{i}") for (c, i), (lo, _) in brackets.items()],
+    ).first()
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(i).alias("nth"),
+            F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)), F.col(c)).alias("value"),
+        )
+        for (c, i), (lo, hi) in brackets.items()
+    ]
+    inside = cast.select(F.inline(F.array(*cells))).filter("value is not null")
+    counts = inside.groupBy("column", "nth", "value").agg(F.count("*").alias("n"))
+    ranked = positions(counts, ["column", "nth"], ["value"], sums={"n": "n"}, totals=False)
+    low = high = F.lit(None).cast("double")
+    for (c, i) in brackets:
+        target = probs[i] * (counted[f"n_{c}"] - 1)
+        here = (F.col("column") == c) & (F.col("nth") == i)
+        low = F.when(here, F.lit(float(math.floor(target) - counted[f"b_{c}_{i}"]))).otherwise(low)
+        high = F.when(here, F.lit(float(math.ceil(target) - counted[f"b_{c}_{i}"]))).otherwise(high)
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    hit = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
+    rows = {
+        (r["column"], r["nth"]): (r["lo"], r["hi"])
+        for r in ranked.groupBy("column", "nth").agg(hit(low).alias("lo"), hit(high).alias("hi")).collect()
+    }
+    out: dict[str, list[float]] = {}
+    for (c, i) in brackets:
+        lo, hi = rows.get((c, i), (None, None))
+        if lo is None or hi is None:
+            return None
+        target = probs[i] * (counted[f"n_{c}"] - 1)
+        out.setdefault(c, []).append(lo + (hi - lo) * (target - math.floor(target)))
+    return out

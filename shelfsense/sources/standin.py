@@ -16,6 +16,7 @@ LINE_ID = (
 )
 MONEY_SCALE = 300.0
 STORES_IN_USE = 10
+LARGE = {"lineitem", "orders", "events", "customer"}
 CAMPAIGNS = 5
 
 
@@ -25,9 +26,17 @@ class GivenTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. One that arrives in fewer splits than there are threads is dealt out
+        first, or its whole scan stage would run in those few tasks."""
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            width = self.spark.sparkContext.defaultParallelism
+            few = name in LARGE and df.rdd.getNumPartitions() < width // 2
+            self._tables[name] = df.repartition(width) if few else df
+        return self._tables[name]
 
 
 def customers(t: GivenTables) -> DataFrame:
@@ -354,3 +363,6 @@ RAW_TABLES = {
     "web_sessions": web_sessions,
     "session_events": session_events,
 }
+
+# Tables that take a join or an aggregation of the given ones.
+COMPUTED = {"daily_prices", "daily_inventory", "campaign_events", "returns"}
