@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 _SPARK_TYPES = {"s": "string", "i": "bigint", "f": "double", "d": "date", "t": "timestamp_ntz", "b": "boolean"}
 _SQL_TYPES = {"s": "VARCHAR", "i": "BIGINT", "f": "DOUBLE", "d": "DATE", "t": "TIMESTAMP", "b": "BOOLEAN"}
-DIGITS = 5
+SCALE = 100000.0  # five digits
 NUDGE = 7e-8  # moves decimal ties off the rounding border, alike on both sides
 
 
@@ -78,7 +78,8 @@ def _spark_side(df: DataFrame, columns: str) -> DataFrame:
     for name, kind in _fields(columns):
         value = F.col(name).cast(_SPARK_TYPES[kind])
         if kind == "f":
-            rounded = F.round(value + F.lit(NUDGE), DIGITS)
+            # Plain double arithmetic, the same steps on both sides.
+            rounded = F.rint((value + F.lit(NUDGE)) * F.lit(SCALE)) / F.lit(SCALE)
             value = F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
         out.append(value.alias(name))
     return df.select(*out)
@@ -89,7 +90,7 @@ def _sql_side(body: str, columns: str) -> str:
     for name, kind in _fields(columns):
         value = f"CAST({name} AS {_SQL_TYPES[kind]})"
         if kind == "f":
-            value = f"round({value} + {NUDGE}::DOUBLE, {DIGITS})"
+            value = f"round(({value} + {NUDGE}::DOUBLE) * {SCALE}::DOUBLE) / {SCALE}::DOUBLE"
             value = f"CASE WHEN {value} = 0 THEN 0.0::DOUBLE ELSE {value} END"
         out.append(f"{value} AS {name}")
     return with_tables(f"SELECT {', '.join(out)} FROM ({body.strip()}) AS answer")

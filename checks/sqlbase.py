@@ -9,7 +9,7 @@ import re
 
 _LINE = (
     "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'"
-    " || CAST(round(l_extendedprice * 100) AS BIGINT)"
+    " || CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"
 )
 _PRI = "substr(o_orderpriority, 1, 1)"
 _ASSIGNED = (

@@ -2,7 +2,7 @@
 
 A window over a hot key, or over no key at all, sorts the whole group in one task. Here
 rows are range-partitioned on (key, order) into chunks of about equal size and written
-once to the shared checkpoint folder, so that the chunk of each row is settled. Windows
+once to the shared folder, so that the chunk of each row is settled. Windows
 then run inside (chunk, key). Only a group that crosses a chunk border needs anything
 from other chunks, and at most two groups per chunk do, so what is broadcast never has
 more than two rows per chunk (times the frame length for trailing frames).

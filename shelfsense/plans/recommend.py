@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.operators import ordered
+from shelfsense.session import durable
 from shelfsense.sources.staging import Staging
 
 # Signal weights and the purchase count below which a customer is cold.
@@ -169,11 +170,13 @@ def popularity_recommendations(
     return first_unseen(want, seen, ranking, k).select("customer_id", "product_id", F.col("place").alias("rank"))
 
 
-def preferred_categories(bought: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
+def bought_counts(bought: DataFrame) -> DataFrame:
+    return bought.groupBy(*PAIR).agg(F.count("*").alias("c"))
+
+
+def preferred_categories(counts_per_item: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
     counts = (
-        bought.groupBy(*PAIR)
-        .agg(F.count("*").alias("c"))
-        .join(products.select("product_id", "category"), "product_id")
+        counts_per_item.join(products.select("product_id", "category"), "product_id")
         .groupBy("customer_id", "category")
         .agg(F.sum("c").alias("bought"))
     )
@@ -185,8 +188,10 @@ def cold_start(
     users: DataFrame, bought: DataFrame, products: DataFrame, category_list: DataFrame, k: int = 10
 ) -> DataFrame:
     """Unseen best sellers of the user's top categories, then of all categories in name order."""
-    seen = seen_items(bought.join(users.select("customer_id"), "customer_id", "left_semi"))
-    liked = preferred_categories(bought.join(users.select("customer_id"), "customer_id", "left_semi"), products)
+    mine = durable(bought_counts(bought.join(users.select("customer_id"), "customer_id", "left_semi")))
+    seen = mine.select(*PAIR)
+    liked = preferred_categories(mine, products)
+    category_list = durable(category_list)
     w = Window.partitionBy("customer_id").orderBy("cat_rank", "pop_rank")
     own = (
         liked.join(category_list.select("category", "product_id", "pop_rank"), "category")

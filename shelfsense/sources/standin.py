@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 LINE_ID = (
     "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),"
     " cast(l_partkey as string), cast(l_suppkey as string),"
-    " cast(cast(round(l_extendedprice * 100) as bigint) as string))"
+    " cast(cast(floor(l_extendedprice * 100 + 0.5) as bigint) as string))"
 )
 MONEY_SCALE = 300.0
 STORES_IN_USE = 10
