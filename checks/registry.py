@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 _SPARK_TYPES = {"s": "string", "i": "bigint", "f": "double", "d": "date", "t": "timestamp_ntz", "b": "boolean"}
 _SQL_TYPES = {"s": "VARCHAR", "i": "BIGINT", "f": "DOUBLE", "d": "DATE", "t": "TIMESTAMP", "b": "BOOLEAN"}
 SCALE = 100000.0  # five digits
-NUDGE = 7e-8  # moves decimal ties off the rounding border, alike on both sides
+NUDGE = 6.180339887e-8  # moves decimal ties off the rounding border, alike on both sides
 
 
 class Space:

@@ -114,7 +114,11 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def dense_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
-    """Dense rank by one non-NULL value: number the distinct values, then join them back."""
+    """Dense rank by one non-NULL value: number the distinct values, then join them back.
+
+    The rows are settled first: a sum of doubles computed twice need not be equal to itself.
+    """
+    df = durable(df)
     levels = df.select(*keys, value).distinct()
     order = F.col(value).desc() if descending else F.col(value).asc()
     ranked = row_number(levels, keys, [order], name).select(

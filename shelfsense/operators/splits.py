@@ -90,4 +90,5 @@ def leave_last_out(df: DataFrame, user: str, order: list[str], name: str = "is_t
     """
     last = df.groupBy(user).agg(F.max(F.struct(*order)).alias("_last"), F.count("*").alias("_n"))
     joined = df.join(last.filter("_n > 1"), user)
-    return joined.withColumn(name, F.struct(*order) == F.col("_last")).drop("_last", "_n")
+    # The last order column names the row; comparing it alone avoids equality of doubles.
+    return joined.withColumn(name, F.col(order[-1]).eqNullSafe(F.col(f"_last.{order[-1]}"))).drop("_last", "_n")

@@ -11,6 +11,7 @@ from shelfsense.functions import distributions as dist
 from shelfsense.operators import ordered
 from shelfsense.operators.joins import with_scalar
 from shelfsense.operators.quality import union_all
+from shelfsense.session import durable
 
 Z95 = dist.NORMAL.inv_cdf(0.975)
 
@@ -138,7 +139,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int =
     Equal (x, y) rows are counted first; ranks are average ranks of the value counts.
     """
     keys = ["left_col", "right_col"]
-    points = _pairs_long(df, pairs).groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
+    points = durable(_pairs_long(df, pairs).groupBy(*keys, "x", "y").agg(F.count("*").alias("n")))
 
     def ranks(axis: str) -> DataFrame:
         counts = points.groupBy(*keys, axis).agg(F.sum("n").alias("_n"))
