@@ -234,7 +234,8 @@ def _(x):
     return decile_table(x)
 
 
-_RANKCORR = "(SELECT corr(rank_a, rank_b) FROM (SELECT CAST(rank() OVER (ORDER BY {a}) AS DOUBLE) AS rank_a, CAST(rank() OVER (ORDER BY observed_uplift) AS DOUBLE) AS rank_b FROM deciles))"
+_RANKCORR = """(SELECT corr(rank_a, rank_b) FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS rank_a,
+    rank() OVER (ORDER BY observed_uplift) + (count(*) OVER (PARTITION BY observed_uplift) - 1) / 2 AS rank_b FROM deciles))"""
 
 
 @query(
