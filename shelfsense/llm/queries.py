@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfsense.llm import best_fit, count_cache, dac
+from shelfsense.llm import best_fit, count_cache, dac, host_reputation, shard_tree
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,9 +21,30 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    """Register a query under its function's name, with the SQL it must match if there is any."""
+
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register(fn) if fn is not None else register
+
+
+@query(sql=shard_tree.ORACLE)
+def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.assign(table(spark, sf_dir, "documents"))
+
+
+@query(sql=host_reputation.ORACLE)
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of its id: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
+    outcomes = labels.filter("quality is not null or toxic is not null").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return host_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
 @query
