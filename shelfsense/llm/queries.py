@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import best_fit, count_cache, dac, host_reputation, shard_tree
+from shelfsense.llm import best_fit, count_cache, dac, host_reputation, shard_tree, spaced_seeds
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
+@query(sql=spaced_seeds.ORACLE)
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "dac").path("tokens")
