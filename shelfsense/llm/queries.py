@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import best_fit, count_cache, dac, host_reputation, shard_tree, spaced_seeds
+from shelfsense.llm import best_fit, count_cache, dac, host_reputation, pattern_pii, shard_tree, spaced_seeds
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op8_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_cache.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), cache)
 
 
+@query
+def op9_pattern_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
