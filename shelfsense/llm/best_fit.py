@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.llm.common import Scratch
-from shelfsense.llm.tokens import encoder, ids_crc32
+from shelfsense.llm.tokens import encoder, ids_crc32, in_slices
 from shelfsense.operators.ordered import positions
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
+        for batch in in_slices(batches):
             found, at = encode(batch.column("text"))
             doc, piece, start, length, crc, lists = [], [], [], [], [], []
             for d, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):

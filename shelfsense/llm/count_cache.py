@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.tokens import encoder
+from shelfsense.llm.tokens import encoder, in_slices
 
 LIMIT = 512
 
@@ -47,7 +47,7 @@ def _counter(vocabulary: str):
             count = lambda texts: [len(x) for x in pieces.encode(texts.to_pylist(), num_threads=1)]
         else:
             count = encoder(vocabulary).count
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array(count(batch.column("text")), type=pa.int64())], ["digest", "n_tokens"]
             )

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfsense.llm.tokens import encoder, ids_crc32
+from shelfsense.llm.tokens import encoder, ids_crc32, in_slices
 
 MAGIC = b"DACSEG01"
 END_ID = 0
@@ -147,7 +147,7 @@ def write_dataset(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
             row = {"task": task, "part": part, "file": name, "n_docs": len(docs), "n_tokens": total, "n_bytes": len(data)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("task", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-        for batch in batches:
+        for batch in in_slices(batches):
             found, at = encode(batch.column("text"))
             for d, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 docs.append(d)

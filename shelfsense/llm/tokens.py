@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept by a worker before it starts its cache anew; bounds memory, never changes ids.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 300_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 4_000_000
 
 # Unicode's White_Space characters.
 _SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -174,6 +176,17 @@ class Encoder:
         return np.arange(n, n + len(keys))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, a row at least."""
+    for batch in batches:
+        n = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(n, dtype=np.int64) // size
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(n)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _room(a: np.ndarray, size: int) -> np.ndarray:
     return a if size <= len(a) else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), dtype=a.dtype)])
 
