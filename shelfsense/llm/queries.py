@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import best_fit, count_cache, dac, host_reputation, pattern_pii, shard_tree, spaced_seeds
+from shelfsense.llm import best_fit, count_cache, dac, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, how many of them went, and the text that is left."""
+    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
 @query(sql=host_reputation.ORACLE)
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of its id: bad if of low quality or toxic."""
