@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import best_fit, count_cache, dac, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds
+from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def query(fn=None, *, sql: str | None = None):
     return register(fn) if fn is not None else register
 
 
+@query(sql=bag_minhash.ORACLE)
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.classes(table(spark, sf_dir, "documents")).drop("mark")
+
+
 @query(sql=shard_tree.ORACLE)
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(table(spark, sf_dir, "documents"))
