@@ -28,6 +28,7 @@ from shelfsense.llm.common import WORD_GAP, Scratch
 ROUNDS = 3
 CONFIDENCE = 0.5
 SUPPORT = 3
+CONTEXT_WORDS = 3
 #: Contexts up to which they are broadcast (8 bytes each).
 BROADCAST_CONTEXTS = 2_000_000
 
@@ -81,7 +82,8 @@ def located(text: Column, pattern: str) -> Column:
             def span(hit: Column, i: Column) -> Column:
                 first = i - i % block
                 start = F.get(known["before"], F.floor(i / block).cast("int")) + _sum(F.slice(known["sizes"], first + 1, i % block)) + F.length(F.get(gaps, i))
-                lead = F.concat_ws("", F.get(hits, i - 2), F.get(gaps, i - 1), F.get(hits, i - 1), F.get(gaps, i))
+                around = [x for j in range(CONTEXT_WORDS, 0, -1) for x in (F.get(hits, i - j), F.get(gaps, i - j + 1))]
+                lead = F.concat_ws("", *around)
                 return _let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value"), lead.alias("lead")))
 
             return F.transform(hits, span)
@@ -123,16 +125,16 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _context(first: Column, second: Column) -> Column:
-    """Hash of two words in lower case, digits alike."""
-    plain = lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0")
-    return F.xxhash64(plain(first), plain(second))
+def _context(before: list[Column]) -> Column:
+    """Hash of words in lower case, digits alike."""
+    return F.xxhash64(*[F.regexp_replace(F.lower(w), "[0-9]", "0") for w in before])
 
 
-def _last_two(lead: Column) -> Column:
-    """The two words that end a lead, null if it has fewer."""
+def _last_words(lead: Column) -> Column:
+    """The context that ends a lead, null if it has too few words."""
     near = F.filter(F.split(lead, WORD_GAP), lambda w: w != "")
-    return _let(near, lambda w: F.when(F.size(w) >= 2, _context(F.element_at(w, -2), F.element_at(w, -1))))
+    own = range(-CONTEXT_WORDS, 0)
+    return _let(near, lambda w: F.when(F.size(w) >= CONTEXT_WORDS, _context([F.element_at(w, i) for i in own])))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def _marked(docs: DataFrame) -> DataFrame:
             start.alias("start"),
             (start + F.length(body)).alias("end"),
             F.xxhash64(body).alias("value"),
-            _last_two(t["lead"]).alias("context"),
+            _last_words(t["lead"]).alias("context"),
             F.coalesce(*kinds).alias("kind"),
         )
 
@@ -166,10 +168,11 @@ def _with_occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     held = F.broadcast(contexts) if contexts.count() <= BROADCAST_CONTEXTS else contexts
     word = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != "")
     plain = F.transform(word, lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0"))
-    pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 2).alias("a"), F.slice("w", 2, F.size("w") - 2).alias("b"))
-    placed = docs.select(plain.alias("w")).filter("size(w) >= 3").select(F.explode(pairs).alias("p"))
+    places = F.size("w") - CONTEXT_WORDS
+    runs = F.arrays_zip(*[F.slice("w", i + 1, places).alias(f"w{i}") for i in range(CONTEXT_WORDS)])
+    placed = docs.select(plain.alias("w")).filter(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("p"))
     return (
-        placed.select(F.xxhash64("p.a", "p.b").alias("context")).join(held, "context").groupBy("context").agg(F.count("*").alias("occurs"))
+        placed.select(F.xxhash64(*[f"p.w{i}" for i in range(CONTEXT_WORDS)]).alias("context")).join(held, "context").groupBy("context").agg(F.count("*").alias("occurs"))
     )
 
 
