@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds
+from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fertility, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,16 @@ def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def fertility_vocabularies() -> dict[str, str]:
+    """A byte-level vocabulary and one with pieces and byte fallback."""
+    return {"byte": vocabulary("byte_bpe_50k.json"), "piece": vocabulary("piece_bpe_32k.model")}
+
+
+@query
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"), fertility_vocabularies())
+
+
 @query(sql=host_reputation.ORACLE)
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of its id: bad if of low quality or toxic."""
