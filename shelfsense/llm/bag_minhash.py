@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import Scratch, components, words
+from shelfsense.llm.common import Scratch, components, free, words
 
 SHINGLE = 5
 REGISTERS = 128
@@ -242,10 +242,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one with the least doc_id (rows without one come last)."""
     found = classes(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    kept = found.groupBy("class_id").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.mark").alias("_mark"))
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_own", mark).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    own, ident, mark = free(docs, "own"), free(docs, "ident"), free(docs, "mark")
+    kept = found.groupBy("class_id").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias(ident), F.col("kept.mark").alias(mark))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = rows.join(kept, rows["doc_id"].eqNullSafe(kept[ident]) & (rows[own] == kept[mark]), "left_semi")
+    return left.dropDuplicates(["doc_id", own]).drop(own)
 
 
 ORACLE = r"""
