@@ -124,7 +124,7 @@ def _(x):
 def _(x):
     folder = f"{x.mart_folder}/raw_csv"
     x.raw("stores").write.mode("overwrite").option("header", True).csv(f"{folder}/stores.csv")
-    schema = x.raw("stores").select(*COLUMNS["stores"].split()).schema
+    schema = x.raw("stores").select(*COLUMNS["stores"]).schema
     return R.load_raw_table(x.spark, folder, "stores", schema)
 
 
@@ -174,6 +174,15 @@ def _(x):
     return x.spark.read.schema(mart.schema).option("header", True).csv(path)
 
 
+@query("snk_02_export_all_marts_csv", "mart_name row_count:i", _MART_COUNTS)
+def _(x):
+    exported = {}
+    for n in _MART_NAMES:
+        path = R.export_csv(x.mart(n), x.mart_folder, f"all_{n}")
+        exported[f"mart_{n}"] = x.spark.read.schema(x.mart(n).schema).option("header", True).csv(path)
+    return R.row_counts(exported)
+
+
 @query(
     "snk_03_write_metric_records",
     "region customers:i revenue:f",

@@ -429,7 +429,18 @@ def _(x):
     return MON.drift_table(_drift_frame(x), "mart_returns_risk", ["refund_amount", "item_net_price"], F.col("is_test"))
 
 
-_RULES_SQL = ", ".join(f"('{p}', '{m}', {b}::DOUBLE, {w}::DOUBLE, {a}::DOUBLE)" for p, m, b, w, a in MON.ALERT_RULES)
+_RULES_SQL = """
+    ('P01 Churn', 'AUC-ROC', 0.896::DOUBLE, 0.87::DOUBLE, 0.85::DOUBLE),
+    ('P01 Churn', 'Precision@0.3_threshold', 0.432, 0.38, 0.33),
+    ('P02 Uplift', 'Top3Decile_uplift', 0.18, 0.13, 0.1),
+    ('P02 Uplift', 'ATE_test', 0.043, 0.02, 0),
+    ('P03 Forecast', 'RMSE', 1.85, 2.3, 2.7),
+    ('P03 Forecast', 'SMAPE_pct', 50.5, 60, 70),
+    ('P04 Segmentation', 'Silhouette', 0.2515, 0.2, 0.18),
+    ('P04 Segmentation', 'Champions_segment_size_pct', 17, 10, 5),
+    ('P05 Recommendations', 'HitRate@10', 0.0104, 0.008, 0.006),
+    ('P06 Anomaly', 'Daily_flag_rate_pct', 1, 3, 5),
+    ('P06 Anomaly', 'Daily_flag_rate_pct_floor', 1, 0.4, 0.2)"""
 
 
 @query(
@@ -439,10 +450,10 @@ _RULES_SQL = ", ".join(f"('{p}', '{m}', {b}::DOUBLE, {w}::DOUBLE, {a}::DOUBLE)"
         v AS (SELECT 'P03 Forecast' AS pipeline, 'RMSE' AS metric, sqrt(avg((p1 - y) * (p1 - y))) AS value FROM forecasts
           UNION ALL SELECT 'P02 Uplift', 'ATE_test', avg(y) FILTER (WHERE t = 1) - avg(y) FILTER (WHERE t = 0) FROM arms
           UNION ALL SELECT 'P01 Churn', 'AUC-ROC', roc_auc FROM ({_AUC}))
-        SELECT pipeline, metric, value, baseline, warn_threshold, alert_threshold, CASE WHEN alert_threshold > warn_threshold THEN
+        SELECT pipeline, metric, value, baseline, warn_threshold, alert_threshold, CASE WHEN value IS NULL THEN 'MISSING' WHEN alert_threshold > warn_threshold THEN
           CASE WHEN value >= alert_threshold THEN 'ALERT' WHEN value >= warn_threshold THEN 'WARN' ELSE 'OK' END
           ELSE CASE WHEN value <= alert_threshold THEN 'ALERT' WHEN value <= warn_threshold THEN 'WARN' ELSE 'OK' END END AS status
-        FROM v JOIN rules USING (pipeline, metric)""",
+        FROM rules LEFT JOIN v USING (pipeline, metric)""",
 )
 def _(x):
     rmse = E.forecast_errors(forecasts(x), "units_sold", "naive_lag1").select(

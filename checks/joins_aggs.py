@@ -98,12 +98,12 @@ def _(x):
 @query(
     "jn_08_conditional_orphan",
     "failed_rows:i",
-    "SELECT count(*) AS failed_rows FROM r_orders WHERE lower(channel) = 'store' AND store_id_nullable NOT IN (SELECT store_id FROM r_stores WHERE store_type = 'mall')",
+    "SELECT count(*) AS failed_rows FROM r_orders WHERE lower(channel) = 'store' AND store_id_nullable NOT IN (SELECT store_id FROM r_stores)",
 )
 def _(x):
     s = x.staging
     at_store = s.orders.filter((F.lower("channel") == "store") & F.col("store_id_nullable").isNotNull())
-    return Q.orphan_count(at_store, s.stores.filter("store_type = 'mall'"), [("store_id_nullable", "store_id")])
+    return Q.orphan_count(at_store, s.stores, [("store_id_nullable", "store_id")])
 
 
 _SPLIT = "DATE '1999-01-01'"

@@ -15,6 +15,7 @@ from shelfsense.plans import uplift as UP
 
 SPLIT_WEEK, SPLIT_DATE = "2000-01-03", "1999-01-01"
 ROUNDS = 15  # boosting rounds of the registered jobs
+LOF_SHARE = 0.5  # of the rows that are no positives
 
 
 def _kept(x, key, build):
@@ -107,8 +108,8 @@ def _(x):
 @query(
     "ft_17_preprocessed_inputs",
     "customer_id total_sessions:f total_orders:f loyalty_tier",
-    """WITH m AS (SELECT customer_id, coalesce(CAST(total_sessions AS DOUBLE), (SELECT quantile_disc(total_sessions, 0.5) FROM m_customer)) AS s,
-         coalesce(CAST(total_orders AS DOUBLE), (SELECT quantile_disc(total_orders, 0.5) FROM m_customer)) AS o,
+    """WITH m AS (SELECT customer_id, coalesce(CAST(total_sessions AS DOUBLE), (SELECT quantile_cont(CAST(total_sessions AS DOUBLE), 0.5) FROM m_customer)) AS s,
+         coalesce(CAST(total_orders AS DOUBLE), (SELECT quantile_cont(CAST(total_orders AS DOUBLE), 0.5) FROM m_customer)) AS o,
          coalesce(loyalty_tier, (SELECT loyalty_tier FROM m_customer WHERE loyalty_tier IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS t FROM m_customer)
        SELECT customer_id, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS total_sessions, (o - avg(o) OVER ()) / stddev_samp(o) OVER () AS total_orders,
        t AS loyalty_tier FROM m""",
@@ -119,7 +120,7 @@ def _(x):
 
     m = x.mart("customer_features").select("customer_id", "total_sessions", "total_orders", "loyalty_tier")
     numeric, categorical = ["total_sessions", "total_orders"], ["loyalty_tier"]
-    filled = T.with_inputs(m, T.column_medians(m, numeric, 0.0), T.column_modes(m, categorical))
+    filled = T.with_inputs(m, T.column_medians(m, numeric), T.column_modes(m, categorical))
     out = Pipeline(stages=T.input_stages(numeric, categorical, linear=True)).fit(filled).transform(filled)
     z = vector_to_array("scaled")
     return out.select("customer_id", z[0].alias("total_sessions"), z[1].alias("total_orders"), F.col("x_loyalty_tier").alias("loyalty_tier"))
@@ -382,7 +383,7 @@ def _(x):
 @query("ml_21_local_outlier_factor", "return_id is_abuse:i lof_score:f lof_flag:i")
 def _(x):
     rows = outlier_rows(x)
-    return RET.local_outlier_scores(rows, RET.lof_sample(rows, "is_abuse", ["return_id"]), ["return_id"])
+    return RET.local_outlier_scores(rows, RET.lof_sample(rows, "is_abuse", ["return_id"], LOF_SHARE), ["return_id"])
 
 
 @query("ml_22_fold_comparison", "feature_set fold:i average_precision:f roc_auc:f")

@@ -114,23 +114,22 @@ def _(x):
     return ST.spearman_pairs(x.mart("product_demand"), _PAIRS)
 
 
-_LAGGED = """(SELECT units_sold, lag(units_sold, 1) OVER w AS lag1, lag(units_sold, 2) OVER w AS lag2, lag(units_sold, 4) OVER w AS lag4,
-    lag(units_sold, 8) OVER w AS lag8 FROM w_demand WINDOW w AS (PARTITION BY product_id, store_id_or_online ORDER BY week_start_date))"""
+LAGS = (1, 2, 3, 4, 8, 13, 26, 52)
+_LAGGED = f"""(SELECT units_sold, {", ".join(f"lag(units_sold, {k}) OVER w AS lag{k}" for k in LAGS)} FROM w_demand
+    WINDOW w AS (PARTITION BY product_id, store_id_or_online ORDER BY week_start_date))"""
 
 
 @query(
     "st_09_lag_correlation_profile",
     "right_col n_pairs:i spearman_r:f",
     " UNION ALL ".join(
-        f"SELECT * FROM ({_spearman_sql(_LAGGED, 'units_sold', f'lag{k}')}) WHERE n_pairs >= 100" for k in (1, 2, 4, 8)
+        f"SELECT * FROM ({_spearman_sql(_LAGGED, 'units_sold', f'lag{k}')}) WHERE n_pairs >= 100" for k in LAGS
     ),
 )
 def _(x):
     w = Window.partitionBy("product_id", "store_id_or_online").orderBy("week_start_date")
-    lags = (1, 2, 3, 4, 8, 13, 26, 52)
-    df = x.mart("product_demand").select("units_sold", *[F.lag("units_sold", k).over(w).alias(f"lag{k}") for k in lags])
-    profile = ST.spearman_pairs(df, [("units_sold", f"lag{k}") for k in lags], least=100)
-    return profile.filter(F.col("right_col").isin("lag1", "lag2", "lag4", "lag8"))
+    df = x.mart("product_demand").select("units_sold", *[F.lag("units_sold", k).over(w).alias(f"lag{k}") for k in LAGS])
+    return ST.spearman_pairs(df, [("units_sold", f"lag{k}") for k in LAGS], least=100)
 
 
 _NUM = ["total_orders", "total_net_revenue", "avg_order_value", "total_units", "tenure_days"]

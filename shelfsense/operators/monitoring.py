@@ -117,7 +117,8 @@ ALERT_RULES = [
 
 
 def evaluate_alerts(metrics: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(pipeline, metric, value) rows against the thresholds, two tiers, either direction."""
+    """Each rule's metric from (pipeline, metric, value) rows against its thresholds, two tiers, either
+    direction; MISSING where no value is given."""
     if rules is None:
         rules = metrics.sparkSession.createDataFrame(
             ALERT_RULES,
@@ -126,7 +127,7 @@ def evaluate_alerts(metrics: DataFrame, rules: DataFrame | None = None) -> DataF
     v, warn, alert = F.col("value"), F.col("warn_threshold"), F.col("alert_threshold")
     high_is_bad = alert > warn
     bad = lambda limit: F.when(high_is_bad, v >= limit).otherwise(v <= limit)
-    return metrics.join(rules, ["pipeline", "metric"]).select(
+    return metrics.join(rules, ["pipeline", "metric"], "right").select(
         "pipeline",
         "metric",
         "value",

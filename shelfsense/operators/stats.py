@@ -44,7 +44,7 @@ def welch_test(df: DataFrame, value: str, first: Column, second: Column) -> Data
     """Unequal-variance t statistic of two groups, with its degrees of freedom and p value."""
     n1, m1, v1 = _arm(F.col(value), first)
     n2, m2, v2 = _arm(F.col(value), second)
-    r = df.agg(*[c.alias(n) for n, c in zip("n1 m1 v1 n2 m2 v2".split(), [n1, m1, v1, n2, m2, v2])]).first()
+    r = df.agg(*[c.alias(n) for n, c in zip(["n1", "m1", "v1", "n2", "m2", "v2"], [n1, m1, v1, n2, m2, v2])]).first()
     a, b = r.v1 / r.n1, r.v2 / r.n2
     t = (r.m1 - r.m2) / (a + b) ** 0.5
     dof = (a + b) ** 2 / (a * a / (r.n1 - 1) + b * b / (r.n2 - 1))

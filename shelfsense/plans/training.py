@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsense.operators import ordered
+
 from shelfsense.operators import splits
 
 
@@ -55,11 +57,10 @@ class Fitted:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def column_medians(train: DataFrame, numeric: list[str], error: float = 1e-3) -> dict[str, float]:
-    """Medians of many columns in one pass; a column without values fills with 0."""
-    cast = train.select(*[F.col(c).cast("double").alias(c) for c in numeric])
-    found = cast.approxQuantile(numeric, [0.5], error)
-    return {c: (q[0] if q else 0.0) for c, q in zip(numeric, found)}
+def column_medians(train: DataFrame, numeric: list[str]) -> dict[str, float]:
+    """Exact interpolated medians; a column without values fills with 0."""
+    found = ordered.quantile_values(train, numeric, [0.5])
+    return {c: (0.0 if found.get(c, [None])[0] is None else found[c][0]) for c in numeric}
 
 
 def column_modes(train: DataFrame, categorical: list[str]) -> dict[str, str]:

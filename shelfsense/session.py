@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,10 @@ def build_session(name: str = "shelfsense", master: str | None = None, **conf) -
         builder = builder.master(master)
     for key, value in {**_RUNTIME_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return tune(builder.getOrCreate())
+    spark = tune(builder.getOrCreate())
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -75,10 +80,14 @@ def drop_durable(spark: SparkSession) -> None:
 
 
 def chunk_count(spark: SparkSession) -> int:
-    """Range chunks of an ordered job: the session's shuffle width (one JVM needs no more than
-    a few per thread)."""
+    """Range chunks of an ordered job: the shuffle width, and no more than two per core."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        width = min(width, 2 * context.defaultParallelism)
-    return max(1, width)
+    return max(1, min(width, 2 * spark.sparkContext.defaultParallelism))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)

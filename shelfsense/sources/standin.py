@@ -16,7 +16,6 @@ LINE_ID = (
 )
 MONEY_SCALE = 300.0
 STORES_IN_USE = 10
-LARGE = {"lineitem", "orders", "events", "customer"}
 CAMPAIGNS = 5
 
 
@@ -29,13 +28,8 @@ class GivenTables:
         self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        """A given table. One that arrives in fewer splits than there are threads is dealt out
-        first, or its whole scan stage would run in those few tasks."""
         if name not in self._tables:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            width = self.spark.sparkContext.defaultParallelism
-            few = name in LARGE and df.rdd.getNumPartitions() < width // 2
-            self._tables[name] = df.repartition(width) if few else df
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
 

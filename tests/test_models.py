@@ -35,15 +35,24 @@ def cloud(spark):
 
 def test_local_outlier_factor_is_exact_when_the_sample_is_everything(cloud):
     x, df = cloud
-    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 1000)
+    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 1.0)
     got = RET.local_outlier_scores(df, sample, ["return_id"], 10).toPandas().sort_values("return_id")
     assert np.allclose(got["lof_score"], _lof(x, 10))
 
 
-def test_sample_keeps_both_classes_and_its_size(cloud):
+def test_sample_keeps_all_positives_and_a_share_of_the_rest(cloud):
     _, df = cloud
-    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 50).toPandas()
-    assert len(sample) == 50 and sample["is_abuse"].sum() == 6
+    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 0.4).toPandas()
+    assert sample["is_abuse"].sum() == 6 and 45 < len(sample) < 105
+    # Each row is drawn by itself, whatever else is in the table.
+    part = RET.lof_sample(df.filter("return_id < 'r100'"), "is_abuse", ["return_id"], 0.4).toPandas()
+    assert set(part["return_id"]) == {r for r in sample["return_id"] if r < "r100"}
+
+
+def test_scores_do_not_depend_on_the_chunking(cloud):
+    _, df = cloud
+    one, many = (RET.isolation_scores(d, ["return_id"], trees=20).toPandas().set_index("return_id") for d in (df.coalesce(1), df.repartition(7)))
+    assert np.allclose(one["iso_score"], many["iso_score"].loc[one.index])
 
 
 def test_isolation_forest_ranks_the_far_cluster_first(cloud):
@@ -144,7 +153,8 @@ def test_x_learner_scores_every_row_and_unseen_campaigns(spark):
 
 def test_fills_come_from_the_training_rows(spark):
     train = spark.createDataFrame(pd.DataFrame({"a": [1.0, 3.0, 100.0], "b": ["x", "x", "y"]}))
-    assert T.column_medians(train, ["a"], 0.0) == {"a": 3.0}
+    assert T.column_medians(train, ["a"]) == {"a": 3.0}
+    assert T.column_medians(train.limit(2), ["a"]) == {"a": 2.0}
     assert T.column_modes(train, ["b"]) == {"b": "x"}
     other = spark.createDataFrame([(None, None)], "a double, b string")
     r = T.with_inputs(other, {"a": 3.0}, {"b": "x"}).first()

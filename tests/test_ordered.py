@@ -82,12 +82,3 @@ def test_quantiles_of_a_table_with_one_dominant_value(spark):
     probs = [0.1, 0.5, 0.86, 0.9, 0.999]
     got = ordered.quantile_values(spark.createDataFrame(pdf), ["x"], probs)["x"]
     assert np.allclose(got, np.quantile(pdf["x"], probs))
-
-
-def test_bracketed_quantiles_equal_the_full_ordering(spark):
-    rng = np.random.default_rng(21)
-    pdf = pd.DataFrame({"x": rng.normal(size=4000), "y": np.where(rng.random(4000) < 0.4, 0.0, rng.integers(0, 50, 4000))})
-    probs = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
-    got = ordered.quantile_values(spark.createDataFrame(pdf), ["x", "y"], probs, bracket_above=0)
-    for c in ("x", "y"):
-        assert np.allclose(got[c], np.quantile(pdf[c], probs))
