@@ -561,3 +561,64 @@ def _(x):
     names = {c: c for c in ("boosted", "tweedie", "forest", "naive_blend")}
     errors = forecast.naive_comparison(forecast_scores(x), names, "boosted")
     return best_per_workload({"churn": (auc, "model", "roc_auc", True), "forecast": (errors, "forecast", "mae", False)})
+
+
+# --- the same steps on fixed signals, which SQL can follow ---------------------------------
+
+
+@query(
+    "srt_01_top_fixed_scores",
+    "rank:i customer_id score:f",
+    """SELECT rank, customer_id, score FROM (SELECT customer_id, total_net_revenue AS score,
+         row_number() OVER (ORDER BY total_net_revenue DESC, customer_id) AS rank FROM m_customer WHERE total_net_revenue IS NOT NULL) WHERE rank <= 500""",
+)
+def _(x):
+    from shelfsense.operators.decisions import top_ranked
+
+    rows = x.mart("customer_features").filter("total_net_revenue is not null").selectExpr("customer_id", "total_net_revenue as score")
+    return top_ranked(rows, [F.col("score").desc(), F.col("customer_id")], 500)
+
+
+@query(
+    "dec_03_fixed_signals",
+    "customer_id action",
+    """SELECT customer_id, CASE
+         WHEN recency_days > 200 AND total_orders > 10 THEN 'Retention offer NOW + personalised recs (high churn, responds to offers)'
+         WHEN recency_days > 200 THEN 'At risk but offer-insensitive: try service/loyalty touch, not discount'
+         WHEN region = 'ASIA' THEN 'Low risk, high value: cross-sell via recs, no discount needed'
+         WHEN total_orders > 10 AND region <> 'EUROPE' THEN 'Growth target: include in next campaign + recs'
+         WHEN total_orders > 10 THEN 'Growth target: include in next campaign'
+         ELSE 'Monitor: no strong action this cycle' END AS action FROM m_customer""",
+)
+def _(x):
+    from shelfsense.operators import decisions as D
+
+    signals = x.mart("customer_features").selectExpr(
+        "customer_id",
+        "if(recency_days > 200, 0.5D, 0.1D) as churn_prob",
+        "cast(total_orders as double) - 10 as uplift_ite",
+        "if(region = 'ASIA', 'Champions', 'Newcomers') as segment_name",
+        "if(region <> 'EUROPE', 'P1', null) as top3_recommendations",
+    )
+    return signals.withColumn("action", D.action())
+
+
+_NAMED = """WITH c AS (SELECT *, CASE WHEN total_orders IS NULL THEN -1 ELSE least(total_orders, 40) // 5 END AS g FROM m_customer),
+     o AS (SELECT median(total_net_revenue::DOUBLE) AS rev, median(recency_days::DOUBLE) AS rec, median(total_orders::DOUBLE) AS ord FROM m_customer),
+     p AS (SELECT g, count(*) AS n, avg(churn_flag_90d) AS churn_rate, median(total_net_revenue::DOUBLE) AS r, median(recency_days::DOUBLE) AS d,
+       median(total_orders::DOUBLE) AS t FROM c GROUP BY g),
+     l AS (SELECT p.*, CASE WHEN r > 1.5 * rev AND d < 0.6 * rec THEN 'Champions' WHEN t > 1.3 * ord AND d < 0.6 * rec THEN 'Loyal Actives'
+       WHEN r > 1.5 * rev AND (d > 1.6 * rec OR churn_rate > 0.3) THEN 'At-Risk High Value'
+       WHEN d > 1.6 * rec OR (d >= 0.6 * rec AND t < 0.4 * ord) THEN 'Dormant' WHEN t < 0.4 * ord THEN 'Newcomers' ELSE 'Mid-Tier Active' END AS name FROM p, o)
+     SELECT g AS cluster_id, n, churn_rate, CASE WHEN count(*) OVER (PARTITION BY name) > 1
+       THEN name || ' ' || row_number() OVER (PARTITION BY name ORDER BY g) ELSE name END AS segment_name FROM l"""
+
+
+@query("ml_17_named_order_bands", "cluster_id:i n:i churn_rate:f segment_name", _NAMED)
+def _(x):
+    from shelfsense.operators.ordered import quantile_values
+
+    columns = ["total_net_revenue", "recency_days", "total_orders"]
+    rows = x.mart("customer_features").withColumn("cluster_id", F.expr("if(total_orders is null, -1, least(total_orders, 40) div 5)"))
+    overall = {c: q[0] for c, q in quantile_values(rows, columns, [0.5]).items()}
+    return SEG.name_clusters(SEG.segment_profile(rows, "cluster_id", columns), overall)
