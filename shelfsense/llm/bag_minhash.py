@@ -15,7 +15,9 @@ least 4/5; classes are connected components. Equal texts are merged before all t
 thousands of documents share is not joined pair by pair: all its members are compared with its
 least one first, and then only pairs that are still in different components. A pair inside a
 component changes no class, so nothing is lost. Sizes and a one-bit-per-register sketch drop
-hopeless pairs inside the joins (a pair at the threshold is lost with a chance below 1e-5).
+hopeless pairs inside the joins (a pair at the threshold is lost with a chance below 1e-5). The second
+join also compares bitmaps of the shingles, whose differing bits bound the overlap from above
+without error, and takes a pair only in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS = 28
 #: Documents whose shingles are fetched by a broadcast of their ids (8 bytes each) up to this number.
 BROADCAST_NODES = 2_000_000
+#: 64-bit words of a document's bitmap of shingles.
+BITMAP = 16
 SLICE_WORDS = 500_000
 
 _U = np.uint64
@@ -140,8 +144,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sketch = bands_and_sketch(values)
         n = np.bincount(doc, weights=weight, minlength=len(batch)).astype(np.int64)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32), bands[n > 0].ravel())
-        columns = [*(batch.column(c) for c in ("doc_id", "mark", "d1", "d2")), pa.array(n), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "d1", "d2", "n", "s1", "s2", "bands"])
+        bits = np.zeros((len(batch), 64 * BITMAP), dtype=np.uint8)
+        bits[doc, (_mix(shingle) % _U(64 * BITMAP)).astype(np.int64)] = 1
+        maps = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+        maps = pa.ListArray.from_arrays(np.arange(0, len(maps) + 1, BITMAP, dtype=np.int32), maps)
+        columns = [*(batch.column(c) for c in ("doc_id", "mark", "d1", "d2")), pa.array(n), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists, maps]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "d1", "d2", "n", "s1", "s2", "bands", "bits"])
 
 
 def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +174,18 @@ def _may_link(a: str, b: str) -> Column:
     return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (differ <= SKETCH_BITS)
 
 
+def _overlap_bound(a: str, b: str) -> Column:
+    """The bitmaps leave a similarity of 4/5 possible: a bit that only one document has stands for a
+    shingle that the other lacks."""
+
+    def only(p: str, q: str) -> Column:
+        own = (F.bit_count(F.col(f"{p}bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}bits")[i]))) for i in range(BITMAP))
+        return F.col(f"{p}n") - sum(own, F.lit(0))
+
+    common = F.least(only(a, b), only(b, a))
+    return common * 5 >= (F.col(f"{a}n") + F.col(f"{b}n") - common) * 4
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of representatives whose exact similarity is at least 4/5."""
     pairs = scratch.keep(pairs, "pairs")
@@ -196,12 +216,12 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), h.alias("h"))
     rows = rows.select("doc_id", "mark", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), "h").alias("d2"), "h")
     signed = scratch.keep(
-        rows.mapInArrow(_sign, "doc_id long, mark long, d1 long, d2 long, n long, s1 long, s2 long, bands array<long>"), "signed"
+        rows.mapInArrow(_sign, "doc_id long, mark long, d1 long, d2 long, n long, s1 long, s2 long, bands array<long>, bits array<long>"), "signed"
     )
     # Equal word sequences: the least doc_id stands for them.
     nodes = scratch.keep(
         signed.groupBy("d1", "d2").agg(
-            F.coalesce(F.min("doc_id"), F.first("d1")).alias("node"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")
+            F.coalesce(F.min("doc_id"), F.first("d1")).alias("node"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
         ),
         "nodes",
     )
@@ -221,16 +241,19 @@ def classes(docs: DataFrame) -> DataFrame:
     members = shared.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", "s1", "s2", F.coalesce("root", "node").alias("root"))
     members = scratch.keep(members, "members")
     mixed = members.groupBy("key").agg(F.min_by("root", "node").alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "lead")
-    mixed = scratch.keep(members.join(mixed, "key"), "mixed")
+    own = nodes.select("node", "n", "s1", "s2", "bits", "bands")
+    mixed = scratch.keep(members.select("key", "node", "root").join(mixed, "key").join(own, "node"), "mixed")
     x, y = mixed.filter("root <> lead").alias("x"), mixed.alias("y")
     apart = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node")))
-        & _may_link("x.", "y."),
+        & _may_link("x.", "y.")
+        & _overlap_bound("x.", "y.")
+        & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")),
     )
-    rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     more = _linked(rest.join(first, ["a", "b"], "left_anti"), docs, scratch)
     scratch.drop(shared, members, mixed)
     roots = scratch.keep(components(links.unionByName(more), scratch).withColumnRenamed("node", "linked"), "roots")
