@@ -356,9 +356,11 @@ def campaign_base(s: Staging) -> DataFrame:
 def campaign_response(s: Staging) -> DataFrame:
     base = campaign_base(s)
     converted, revenue = F.col("conversion_within_30d"), F.col("revenue_within_30d")
-    # A few campaigns hold all rows: rank them in range chunks, not in one task each.
+    # A few campaigns hold all rows: rank them in range chunks, not in one task each. Only the key and
+    # what it is ordered by is laid out; the ranks are joined back by the key.
+    key = ["campaign_id", "customer_id"]
     ranked = ordered.row_number(
-        base,
+        base.select(*key, converted, revenue),
         ["campaign_id"],
         [converted.desc_nulls_last(), revenue.desc(), F.col("customer_id")],
         "campaign_response_rank",
@@ -366,9 +368,8 @@ def campaign_response(s: Staging) -> DataFrame:
     placed = ordered.positions(
         ranked, ["campaign_id"], [revenue.desc(), converted.desc_nulls_last(), F.col("customer_id")]
     )
-    return placed.withColumn(
-        "revenue_decile_within_campaign", ordered.tile(F.col("rows_before"), F.col("rows_total"), 10)
-    ).drop("rows_before", "rows_total")
+    decile = ordered.tile(F.col("rows_before"), F.col("rows_total"), 10).alias("revenue_decile_within_campaign")
+    return base.join(placed.select(*key, "campaign_response_rank", decile), key)
 
 
 # --- return risk -------------------------------------------------------------------------
@@ -423,7 +424,12 @@ def product_return_history(items: DataFrame, reach: int = 30) -> DataFrame:
 
 
 def returns_risk(s: Staging) -> DataFrame:
-    df = product_return_history(customer_return_history(return_items(s)))
+    # Only keys, order and flag are laid out, once by customer and once by product.
+    items = return_items(s)
+    narrow = items.select("order_item_id", "customer_id", "product_id", "order_date", "return_flag")
+    by_customer = customer_return_history(narrow).select("order_item_id", "prior_customer_return_rate", "customer_item_recency_rank")
+    by_product = product_return_history(narrow).select("order_item_id", "recent_product_return_events")
+    df = items.join(by_customer, "order_item_id").join(by_product, "order_item_id")
     return df.select(
         "order_item_id",
         "order_id",
