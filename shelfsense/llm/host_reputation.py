@@ -1,10 +1,10 @@
 """URL filter: explicit rules, and an empirical-Bayes reputation of hosts for the rest.
 
 Labelled page outcomes (bad or not) are counted per host, registered domain and public suffix. Each
-level is a beta-binomial whose prior mean is the posterior mean of the level above and whose
-prior strength comes from the spread of all children of that level around their parents (a moment
-estimate over all data). A host with few labels thus keeps close to its domain, a domain to its
-suffix, a suffix to the whole. A page is blocked if the lower posterior bound of its host's bad
+level is a beta-binomial whose prior mean is that of the level above without the child's own labels
+and whose prior strength comes from the spread of all children of that level around their parents (a
+moment estimate over all data), weakened where few labels stand behind the mean. A host with few
+labels thus keeps close to its domain, a domain to its suffix, a suffix to the whole, and no label counts twice. A page is blocked if the lower posterior bound of its host's bad
 rate lies above ``threshold``: the bound is taken on the logit, whose mean and variance under a beta
 posterior are differences of digamma and sums of trigamma values.
 
@@ -123,17 +123,23 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(*tally)
     suffixes = domains.groupBy("suffix").agg(*tally)
     whole = suffixes.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("m")).select("m").scalar()
-
-    def shrunk(strength: Column, prior: Column) -> Column:
-        return (F.col("k") + strength * prior) / (F.col("n") + strength)
-
-    by_suffix = suffixes.select("suffix", shrunk(_strength(suffixes, []), whole).alias("m_suffix"))
-    by_domain = domains.join(by_suffix, "suffix").select(
-        "domain", "suffix", shrunk(_strength(domains, ["suffix"]), F.col("m_suffix")).alias("m_domain")
+    totals = domains.select("domain", "suffix", F.col("n").alias("nd"), F.col("k").alias("kd")).join(
+        suffixes.select("suffix", F.col("n").alias("ns"), F.col("k").alias("ks")), "suffix"
     )
-    own = hosts.join(by_domain, ["domain", "suffix"]).withColumn("s", _strength(hosts, ["domain", "suffix"]))
-    a, b = F.col("k") + F.col("s") * F.col("m_domain"), F.col("n") - F.col("k") + F.col("s") * (1 - F.col("m_domain"))
-    posterior = own.select("host", "n", "k", a.alias("a"), b.alias("b"))
+    strengths = {"s1": _strength(suffixes, []), "s2": _strength(domains, ["suffix"]), "s3": _strength(hosts, ["domain", "suffix"])}
+    c = F.col
+    # A level's mean without the child's own labels, and what that mean is worth: the strength of the
+    # spread around it and the labels behind it, added as variances are.
+    steps = [
+        ("ms", (c("ks") - c("kd") + c("s1") * c("m0")) / (c("ns") - c("nd") + c("s1"))),
+        ("wd", 1 / (1 / c("s2") + 1 / (c("ns") - c("nd") + c("s1")))),
+        ("md", (c("kd") - c("k") + c("wd") * c("ms")) / (c("nd") - c("n") + c("wd"))),
+        ("wh", 1 / (1 / c("s3") + 1 / (c("nd") - c("n") + c("wd")))),
+    ]
+    own = hosts.join(totals, ["domain", "suffix"]).withColumns({**strengths, "m0": whole})
+    for name, value in steps:
+        own = own.withColumn(name, value)
+    posterior = own.select("host", "n", "k", (c("k") + c("wh") * c("md")).alias("a"), (c("n") - c("k") + c("wh") * (1 - c("md"))).alias("b"))
     logit = _digamma(F.col("a")) - _digamma(F.col("b")) - Z * F.sqrt(_trigamma(F.col("a")) + _trigamma(F.col("b")))
     return posterior.withColumn("low", 1 / (1 + F.exp(-logit)))
 
@@ -189,9 +195,12 @@ domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 strengths AS (SELECT {_strength_sql("suffixes", "()")} AS s1, {_strength_sql("domains", "suffix")} AS s2, {_strength_sql("hosts", "domain, suffix")} AS s3,
   (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM suffixes) AS m0),
-by_suffix AS (SELECT suffix, (k + s1 * m0) / (n + s1) AS m FROM suffixes, strengths),
-by_domain AS (SELECT d.domain, d.suffix, (d.k + s2 * u.m) / (d.n + s2) AS m FROM domains d JOIN by_suffix u USING (suffix), strengths),
-posterior AS (SELECT h.host, h.k + s3 * d.m AS a, h.n - h.k + s3 * (1 - d.m) AS b FROM hosts h JOIN by_domain d USING (domain, suffix), strengths),
+known AS (
+  SELECT h.host, h.n, h.k, d.n AS nd, d.k AS kd, u.n AS ns, u.k AS ks, s1, s2, s3, m0
+  FROM hosts h JOIN domains d USING (domain, suffix) JOIN suffixes u USING (suffix), strengths),
+by_suffix AS (SELECT *, (ks - kd + s1 * m0) / (ns - nd + s1) AS ms, 1 / (1 / s2 + 1 / (ns - nd + s1)) AS wd FROM known),
+by_domain AS (SELECT *, (kd - k + wd * ms) / (nd - n + wd) AS md, 1 / (1 / s3 + 1 / (nd - n + wd)) AS wh FROM by_suffix),
+posterior AS (SELECT host, k + wh * md AS a, n - k + wh * (1 - md) AS b FROM by_domain),
 bound AS (SELECT host, 1 / (1 + exp(-({_digamma_sql("a")} - {_digamma_sql("b")} - 1.645 * sqrt({_trigamma_sql("a")} + {_trigamma_sql("b")})))) AS low FROM posterior),
 ruled AS (
   SELECT r.page_id, r.host, r.path, b.low,

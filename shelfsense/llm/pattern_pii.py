@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import WORD_GAP, Scratch
+from shelfsense.llm.common import Scratch, let, words
 
 ROUNDS = 3
 CONFIDENCE = 0.5
@@ -45,11 +45,6 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _SPANS = "array<struct<start:int,end:int,value:string,lead:string>>"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
@@ -84,14 +79,14 @@ def located(text: Column, pattern: str) -> Column:
                 start = F.get(known["before"], F.floor(i / block).cast("int")) + _sum(F.slice(known["sizes"], first + 1, i % block)) + F.length(F.get(gaps, i))
                 around = [x for j in range(CONTEXT_WORDS, 0, -1) for x in (F.get(hits, i - j), F.get(gaps, i - j + 1))]
                 lead = F.concat_ws("", *around)
-                return _let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value"), lead.alias("lead")))
+                return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value"), lead.alias("lead")))
 
             return F.transform(hits, span)
 
-        return _let(lengths, lambda sizes: _let(F.struct(sizes.alias("sizes"), before(sizes).alias("before")), placed))
+        return let(lengths, lambda sizes: let(F.struct(sizes.alias("sizes"), before(sizes).alias("before")), placed))
 
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _let(F.struct(gaps.alias("gaps"), hits.alias("hits")), spans)
+    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), spans)
 
 
 def _only_if(condition: Column, spans: Column) -> Column:
@@ -132,9 +127,9 @@ def _context(before: list[Column]) -> Column:
 
 def _last_words(lead: Column) -> Column:
     """The context that ends a lead, null if it has too few words."""
-    near = F.filter(F.split(lead, WORD_GAP), lambda w: w != "")
+    near = words(lead)
     own = range(-CONTEXT_WORDS, 0)
-    return _let(near, lambda w: F.when(F.size(w) >= CONTEXT_WORDS, _context([F.element_at(w, i) for i in own])))
+    return let(near, lambda w: F.when(F.size(w) >= CONTEXT_WORDS, _context([F.element_at(w, i) for i in own])))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -166,7 +161,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 def _with_occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """Number of places in the corpus where each context occurs before a word."""
     held = F.broadcast(contexts) if contexts.count() <= BROADCAST_CONTEXTS else contexts
-    word = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != "")
+    word = words(F.col("text"))
     plain = F.transform(word, lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0"))
     places = F.size("w") - CONTEXT_WORDS
     runs = F.arrays_zip(*[F.slice("w", i + 1, places).alias(f"w{i}") for i in range(CONTEXT_WORDS)])
