@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.sqlbase import with_tables
 from shelfsense.plans.marts import MARTS
-from shelfsense.session import shared_dir, tune
+from shelfsense.session import durable_scope, shared_dir, tune
 from shelfsense.sources import standin
 from shelfsense.sources.raw import materialize
 from shelfsense.sources.staging import Staging
@@ -49,7 +49,8 @@ class Space:
         """A mart, built and written on first use and read back from then on."""
         full = f"mart_{name}"
         if full not in self._marts:
-            self._marts[full] = materialize(MARTS[full](self.staging), self.mart_folder, full)
+            with durable_scope(self.spark):
+                self._marts[full] = materialize(MARTS[full](self.staging), self.mart_folder, full)
         return self._marts[full]
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:

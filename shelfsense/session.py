@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ _RUNTIME_DEFAULTS = {
 }
 
 
+_SCOPES: list[list[str]] = []
+
+
 def build_session(name: str = "shelfsense", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -69,9 +73,23 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def durable_scope(spark: SparkSession):
+    """Delete the durable tables made inside once the block is left, after the write that reads them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_durable(spark: SparkSession) -> None:
     """Delete the tables this application wrote with ``durable``."""
     jvm = spark._jvm
