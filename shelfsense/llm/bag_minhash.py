@@ -39,7 +39,7 @@ SKETCH_BITS = 28
 #: Documents whose shingles are fetched by a broadcast of their ids (8 bytes each) up to this number.
 BROADCAST_NODES = 2_000_000
 #: 64-bit words of a document's bitmap of shingles.
-BITMAP = 16
+BITMAP = 8
 SLICE_WORDS = 500_000
 
 _U = np.uint64
@@ -186,6 +186,10 @@ def _overlap_bound(a: str, b: str) -> Column:
     return common * 5 >= (F.col(f"{a}n") + F.col(f"{b}n") - common) * 4
 
 
+def _short(band: Column) -> Column:
+    return band.bitwiseAND((1 << 31) - 1).cast("int")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of representatives whose exact similarity is at least 4/5."""
     pairs = scratch.keep(pairs, "pairs")
@@ -241,7 +245,8 @@ def classes(docs: DataFrame) -> DataFrame:
     members = shared.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", "s1", "s2", F.coalesce("root", "node").alias("root"))
     members = scratch.keep(members, "members")
     mixed = members.groupBy("key").agg(F.min_by("root", "node").alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "lead")
-    own = nodes.select("node", "n", "s1", "s2", "bits", "bands")
+    # 31 bits of a band's hash tell the bands of two documents apart.
+    own = nodes.select("node", "n", "s1", "s2", "bits", F.transform("bands", _short).alias("bands"))
     mixed = scratch.keep(members.select("key", "node", "root").join(mixed, "key").join(own, "node"), "mixed")
     x, y = mixed.filter("root <> lead").alias("x"), mixed.alias("y")
     apart = x.join(
@@ -251,7 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
         & ((F.col("y.root") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node")))
         & _may_link("x.", "y.")
         & _overlap_bound("x.", "y.")
-        & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")),
+        & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == _short(F.col("x.key"))),
     )
     rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     more = _linked(rest.join(first, ["a", "b"], "left_anti"), docs, scratch)
