@@ -89,7 +89,7 @@ class Encoder:
             return np.diff(reached[at]), np.arange(len(column) + 1)
 
         def flat(found: list) -> tuple[np.ndarray, np.ndarray]:
-            return np.array([int(x) for x in found], dtype=np.int64), np.arange(len(found) + 1)
+            return np.array([int(np.ravel(x)[0]) for x in found], dtype=np.int64), np.arange(len(found) + 1)
 
         return self._over(texts, by_chunk, whole, flat)[0]
 
