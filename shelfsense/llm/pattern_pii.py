@@ -13,8 +13,8 @@ instances. Patterns and instances form a graph that is scored in rounds:
 After the rounds the candidates with a score of at least ``CONFIDENCE``, by patterns with at least
 ``SUPPORT`` different instances, are added as spans of kind ``identifier``.
 
-Matching runs on the texts once; counting contexts runs once more, against the candidate contexts
-alone, which are broadcast below a checked size and shuffled beyond it. The graph holds a row per
+Matching runs on the texts once; contexts are counted in one more pass and the counts joined to the candidate
+contexts, which are broadcast below a checked size and shuffled beyond it. The graph holds a row per
 identifier-like token, and hot contexts or values are summed before each shuffle.
 """
 
@@ -28,7 +28,7 @@ from shelfsense.llm.common import Scratch, let, words
 ROUNDS = 3
 CONFIDENCE = 0.5
 SUPPORT = 3
-CONTEXT_WORDS = 3
+CONTEXT_WORDS = 2
 #: Contexts up to which they are broadcast (8 bytes each).
 BROADCAST_CONTEXTS = 2_000_000
 
@@ -166,9 +166,9 @@ def _with_occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     places = F.size("w") - CONTEXT_WORDS
     runs = F.arrays_zip(*[F.slice("w", i + 1, places).alias(f"w{i}") for i in range(CONTEXT_WORDS)])
     placed = docs.select(plain.alias("w")).filter(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("p"))
-    return (
-        placed.select(F.xxhash64(*[f"p.w{i}" for i in range(CONTEXT_WORDS)]).alias("context")).join(held, "context").groupBy("context").agg(F.count("*").alias("occurs"))
-    )
+    # Counted before the join, which then sees each context once.
+    counted = placed.select(F.xxhash64(*[f"p.w{i}" for i in range(CONTEXT_WORDS)]).alias("context")).groupBy("context").agg(F.count("*").alias("occurs"))
+    return counted.join(held, "context")
 
 
 def identifiers(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:

@@ -156,6 +156,15 @@ def test_contexts_find_unseen_identifiers(spark):
             assert "identifier" not in found[i]
 
 
+def test_contexts_are_the_two_words_before(spark):
+    """Different third words share a context, and two words before an identifier are enough."""
+    texts = [f"{w} me at user{i}@mail.example today" for i, w in enumerate(("email", "write", "ask", "call", "reach", "ping"))]
+    texts += ["me at handle-77x, thanks"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pattern_pii.find_personal_data(docs).collect()}
+    assert found[6] == "identifier:6:16" and all("identifier" not in found[i] for i in range(6))
+
+
 def test_fertility_rules(spark, odd_docs, odd_rows, no_docs):
     rng = random.Random(6)
     good = prose(rng, 90)
