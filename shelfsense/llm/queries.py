@@ -46,7 +46,7 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, how many of them went, and the text that is left."""
-    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, whole=True)
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 

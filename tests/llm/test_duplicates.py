@@ -155,6 +155,40 @@ def test_lines_match_brute_force(spark):
         assert (found[i].n_lines, found[i].n_dropped) == (len(own), sum((i, k) in gone for k in range(len(own))))
 
 
+def test_whole_lines_are_found_by_edit_similarity_alone(spark):
+    """One changed word, mistyped letters and short or unspaced lines, against brute force without hashes."""
+    rng = random.Random(12)
+    lines = []
+    for n in (3, 5, 8, 10, 15):
+        for _ in range(12):
+            words = prose(rng, n).split()
+            lines += [" ".join(words), " ".join(edited(rng, words, 1))]
+    for n in (6, 12, 25):
+        for _ in range(10):
+            one = [chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n)]
+            other = list(one)
+            other[rng.randrange(n)] = "\u4e00"
+            lines += ["".join(one), "".join(other)]
+    lines = list(dict.fromkeys(map(normal, lines)))
+    pairs = []
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            if len((Counter(a) - Counter(b)).keys()) > max(len(a), len(b)) * 0.2:
+                continue  # each of these letters takes an edit of its own
+            most = max(len(a), len(b))
+            if abs(len(a) - len(b)) <= most * 0.2 and edit_distance(a, b) <= int(most * 0.2 + 1e-9):
+                pairs.append((i, j))
+    docs = [(i, x) for i, x in enumerate(lines)] + [(1000, "Short line!"), (1001, "short line"), (1002, "a\nb"), (1003, "A.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(frame, whole=True).collect()}
+    roots = grouped(pairs, range(len(lines)))
+    gone = {n for n, root in roots.items() if n != root}
+    dropped = {i for i in range(len(lines)) if found[i] == ""}
+    print(f"{len(dropped)} of {len(gone)} lines found")
+    assert dropped <= gone and len(gone) > 60 and len(dropped) >= 0.97 * len(gone)
+    assert (found[1000], found[1001], found[1002], found[1003]) == ("Short line!", "", "a\nb", "")
+
+
 def test_every_layout_is_a_pigeonhole():
     for n in (10, 10**8, 10**10, 10**12):
         keys = fuzzy_lines.layout(n)
