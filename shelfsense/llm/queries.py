@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fertility, fuzzy_lines, host_reputation, pattern_pii, shard_tree, spaced_seeds, weighted_mix
+from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fertility, fuzzy_lines, host_reputation, k2_treap, pattern_pii, shard_tree, spaced_seeds, weighted_mix
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op12_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of good quality weigh more in the last, partial epoch of their source."""
     weights = weighted_mix.quality_weights(table(spark, sf_dir, "labels"))
     return weighted_mix.mix(table(spark, sf_dir, "documents"), weights)
+
+
+@query(sql=k2_treap.ORACLE)
+def op13_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2_treap.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,7 +4,7 @@ import pytest
 
 from tests.llm.conftest import prose
 
-QUERIES_WITH_SQL = ["op1_bag_minhash", "op2_shard_tree", "op5_host_reputation", "op6_spaced_seeds", "op12_weighted_mix"]
+QUERIES_WITH_SQL = ["op1_bag_minhash", "op2_shard_tree", "op5_host_reputation", "op6_spaced_seeds", "op12_weighted_mix", "op13_k2_treap"]
 
 
 def test_stages(spark, tmp_path):
