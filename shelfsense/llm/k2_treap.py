@@ -375,7 +375,7 @@ ORACLE = r"""
 WITH letters AS (SELECT '[0-9A-Za-z\x{80}-\x{10FFFF}]+' AS p),
 doc_terms AS (
   SELECT row_number() OVER () AS r, doc_id,
-    list_transform(regexp_extract_all(coalesce(text, ''), p), x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS t
   FROM documents, letters),
 totals AS (SELECT count(*) AS n_all, sum(len(t))::BIGINT AS l_all FROM doc_terms WHERE len(t) > 0),
 postings AS (
@@ -384,7 +384,7 @@ postings AS (
 dfs AS (SELECT term, floor(1000 * ln((2 * any_value(n_all) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
 item_terms AS (
   SELECT item_id, term, count(*) AS many FROM (
-    SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), p), x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p)) AS term
     FROM (SELECT DISTINCT item_id, text FROM benchmark), letters) GROUP BY item_id, term),
 scored AS (
   SELECT item_id, r, doc_id, sum(many * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
