@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bag_minhash, best_fit, count_cache, dac, fertility, fuzzy_lines, host_reputation, k2_treap, pattern_pii, shard_tree, spaced_seeds, weighted_mix
+from shelfsense.llm import audit_repair, bag_minhash, best_fit, count_cache, dac, fertility, fuzzy_lines, host_reputation, k2_treap, pattern_pii, shard_tree, spaced_seeds, weighted_mix
 from shelfsense.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = audit_repair.damage(table(spark, sf_dir, "conversations"))
+    return audit_repair.repair(hurt, hurt["lost"])
+
+
 @query(sql=weighted_mix.ORACLE)
 def op12_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of good quality weigh more in the last, partial epoch of their source."""
