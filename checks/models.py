@@ -15,7 +15,6 @@ from shelfsense.plans import uplift as UP
 
 SPLIT_WEEK, SPLIT_DATE = "2000-01-03", "1999-01-01"
 ROUNDS = 15  # boosting rounds of the registered jobs
-LOF_SHARE = 0.5  # of the rows that are no positives
 
 
 def _kept(x, key, build):
@@ -382,8 +381,23 @@ def _(x):
 
 @query("ml_21_local_outlier_factor", "return_id is_abuse:i lof_score:f lof_flag:i")
 def _(x):
-    rows = outlier_rows(x)
-    return RET.local_outlier_scores(rows, RET.lof_sample(rows, "is_abuse", ["return_id"], LOF_SHARE), ["return_id"])
+    return RET.local_outlier_scores(outlier_rows(x), ["return_id"])
+
+
+@query(
+    "ml_21_local_outlier_factor_of_suppliers",
+    "s_suppkey:i lof_score:f",
+    """WITH p AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) / 100 AS a, CAST(s_nationkey AS DOUBLE) AS b FROM supplier),
+    d AS (SELECT x.s_suppkey AS i, y.s_suppkey AS j, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d FROM p x JOIN p y ON x.s_suppkey <> y.s_suppkey),
+    near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, CAST(j AS VARCHAR)) <= 20),
+    reach AS (SELECT i, max(d) AS kd, count(*) AS k FROM near GROUP BY i),
+    dens AS (SELECT n.i, 1 / (sum(greatest(n.d, r.kd)) / count(*) + 1e-10::DOUBLE) AS lrd FROM near n JOIN reach r ON n.j = r.i GROUP BY n.i)
+    SELECT n.i AS s_suppkey, sum(o.lrd) / count(*) / any_value(m.lrd) AS lof_score FROM near n JOIN dens o ON n.j = o.i JOIN dens m ON n.i = m.i GROUP BY n.i""",
+)
+def _(x):
+    v = F.array(F.col("s_acctbal").cast("double") / 100, F.col("s_nationkey").cast("double"))
+    rows = x.spark.read.parquet(f"{x.folder}/supplier.parquet").select("s_suppkey", v.alias("v"))
+    return RET.local_outlier_scores(rows, ["s_suppkey"])
 
 
 @query("ml_22_fold_comparison", "feature_set fold:i average_precision:f roc_auc:f")

@@ -1,4 +1,4 @@
-"""Numpy helpers that run inside tasks: one isolation tree, neighbours in a bounded sample."""
+"""Numpy helpers that run inside tasks: isolation trees."""
 
 from __future__ import annotations
 
@@ -58,36 +58,3 @@ def tree_depth(x: np.ndarray, tree: tuple) -> np.ndarray:
         at[moving] = np.where(left, low[node], high[node])
         moving = moving[feature[at[moving]] >= 0]
     return depth[at]
-
-
-def own_position(keys: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
-    """Position of each key in the sorted sample, -1 when it is not part of it."""
-    at = np.searchsorted(sorted_names.astype(str), keys.astype(str))
-    at = np.minimum(at, len(sorted_names) - 1)
-    return np.where(sorted_names[at] == keys, at, -1)
-
-
-def nearest(x: np.ndarray, points: np.ndarray, k: int, own: np.ndarray, cells: int = 2_000_000):
-    """The ``k`` nearest sample points per row and their distances, nearest first."""
-    step = max(1, cells // max(len(points), 1))
-    norms = (points**2).sum(axis=1)
-    ids, dists = [], []
-    for s in range(0, len(x), step):
-        part = x[s : s + step]
-        d = (part**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * part @ points.T
-        np.maximum(d, 0.0, out=d)
-        mine = own[s : s + step]
-        inside = np.flatnonzero(mine >= 0)
-        d[inside, mine[inside]] = np.inf
-        pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-        sub = np.take_along_axis(d, pick, axis=1)
-        order = np.argsort(sub, axis=1, kind="stable")
-        ids.append(np.take_along_axis(pick, order, axis=1))
-        dists.append(np.sqrt(np.take_along_axis(sub, order, axis=1)))
-    if not ids:
-        return np.zeros((0, k), dtype=np.int64), np.zeros((0, k))
-    return np.concatenate(ids), np.concatenate(dists)
-
-
-def reach_density(near: np.ndarray, dist: np.ndarray, k_distance: np.ndarray) -> np.ndarray:
-    return 1.0 / (np.maximum(dist, k_distance[near]).mean(axis=1) + 1e-10)

@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsense.functions import outliers as O
+from shelfsense.operators import neighbours as NB
 from shelfsense.plans import features as FT
 from shelfsense.plans import returns as RET
 from shelfsense.plans import segmentation as SEG
 from shelfsense.plans import training as T
 from shelfsense.plans import uplift as UP
+from shelfsense.session import durable
 
 
 def _lof(x, k):
@@ -33,20 +35,45 @@ def cloud(spark):
     return x, spark.createDataFrame(rows, "return_id string, is_abuse int, v array<double>")
 
 
-def test_local_outlier_factor_is_exact_when_the_sample_is_everything(cloud):
+def test_local_outlier_factor_is_exact(cloud):
     x, df = cloud
-    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 1.0)
-    got = RET.local_outlier_scores(df, sample, ["return_id"], 10).toPandas().sort_values("return_id")
-    assert np.allclose(got["lof_score"], _lof(x, 10))
-
-
-def test_sample_keeps_all_positives_and_a_share_of_the_rest(cloud):
-    _, df = cloud
-    sample = RET.lof_sample(df, "is_abuse", ["return_id"], 0.4).toPandas()
-    assert sample["is_abuse"].sum() == 6 and 45 < len(sample) < 105
-    # Each row is drawn by itself, whatever else is in the table.
-    part = RET.lof_sample(df.filter("return_id < 'r100'"), "is_abuse", ["return_id"], 0.4).toPandas()
-    assert set(part["return_id"]) == {r for r in sample["return_id"] if r < "r100"}
+    got = RET.local_outlier_scores(df, ["return_id"], 10).toPandas().sort_values("return_id")
+    assert np.allclose(got["lof_score"], _lof(x, 10)) and got["lof_flag"].sum() == 2
+
+
+@pytest.mark.parametrize("cell, block", [(1000, 4000), (15, 7), (3, 2)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, cell, block):
+    """Ties, repeated points, far clusters; cells and blocks of any size."""
+    monkeypatch.setattr(NB, "CELL_POINTS", cell)
+    monkeypatch.setattr(NB, "BLOCK_POINTS", block)
+    rng = np.random.default_rng(17)
+    x = np.vstack([rng.integers(0, 5, (120, 2)), rng.normal(0, 1, (60, 2)) + 50, np.full((40, 2), 7.0)]).astype(float)
+    names = [f"p{i:03d}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(n, [float(v) for v in r]) for n, r in zip(names, x)], "id string, v array<double>").repartition(4)
+    points = durable(NB.distinct_points(df, F.col("id")))
+    got = {r["name"]: [(e["d"], e["name"], e["n"]) for e in r["near"]] for r in NB.nearest(points, 12).collect()}
+    groups = {}
+    for n, r in zip(names, x):
+        groups.setdefault(tuple(r), []).append(n)
+    least = {r: min(g) for r, g in groups.items()}
+    assert set(got) == set(least.values())
+    for r, name in least.items():
+        others = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(r, s)))), least[s], len(g) - (s == r)) for s, g in groups.items())
+        want, left = [], 12
+        for d, other, n in others:
+            if n and left:
+                want.append((d, other, min(n, left)))
+                left -= min(n, left)
+        assert [(pytest.approx(d), o, n) for d, o, n in want] == got[name]
+
+
+def test_outlier_factors_of_small_tables(spark):
+    one = spark.createDataFrame([("a", [1.0, 2.0])], "id string, v array<double>")
+    assert [r.lof_score for r in RET.local_outlier_scores(one, ["id"]).collect()] == [1.0]
+    assert RET.local_outlier_scores(one.limit(0), ["id"]).count() == 0
+    same = spark.createDataFrame([(str(i), [1.0]) for i in range(50)], "id string, v array<double>")
+    rows = RET.local_outlier_scores(same, ["id"]).collect()
+    assert len(rows) == 50 and {round(r.lof_score, 6) for r in rows} == {1.0}
 
 
 def test_scores_do_not_depend_on_the_chunking(cloud):
