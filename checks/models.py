@@ -6,6 +6,7 @@ from checks.registry import query
 from shelfsense.operators import bootstrap as B
 from shelfsense.operators import evaluation as E
 from shelfsense.operators import stats as ST
+from shelfsense.operators.quality import union_all
 from shelfsense.plans import churn, customer360, factors, features as FT, forecast
 from shelfsense.plans import recommend as rec
 from shelfsense.plans import returns as RET
@@ -460,7 +461,7 @@ def _(x):
 @query("rc_02_user_scores", "product_id score:f")
 def _(x):
     user = svd(x).users.agg(F.min("customer_id").alias("u")).first()["u"]
-    return factors.user_scores(svd(x), user)
+    return factors.user_scores(svd(x), user, train_seen(x)).filter("score is not null")
 
 
 @query("rc_04_hybrid_top_k", "customer_id product_id rank:i score:f")
@@ -468,6 +469,75 @@ def _(x):
     return hybrid(x).filter("rank <= 10")
 
 
+# Factors given by columns of the tables, so that SQL can check the scoring itself.
+
+_FIXED = """WITH u AS (SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_acctbal AS DOUBLE) / 10000 AS f1, (c_nationkey - 12) / 25.0::DOUBLE AS f2, 0.5::DOUBLE AS f3 FROM customer),
+    i AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_brand, p_type, CAST(p_size AS DOUBLE) / 50 AS g1, CAST(p_retailprice AS DOUBLE) / 2000 AS g2, (p_partkey % 13 - 6) / 13.0::DOUBLE AS g3 FROM part),
+    had AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(l_partkey AS VARCHAR) AS product_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    cf AS (SELECT customer_id, product_id, p_brand, p_type, f1 * g1 + f2 * g2 + f3 * g3 AS cf FROM u, i),
+    sizes AS (SELECT customer_id, count(*) AS n FROM had GROUP BY 1),
+    prof AS (SELECT customer_id, name, count(*) / any_value(n) / 2.0::DOUBLE AS w FROM
+      (SELECT customer_id, unnest([p_brand, p_type]) AS name FROM had JOIN i USING (product_id)) JOIN sizes USING (customer_id) GROUP BY 1, 2),
+    both_scores AS (SELECT c.*, coalesce(b.w, 0) + coalesce(m.w, 0) AS cb, h.product_id IS NOT NULL AS seen FROM cf c
+      LEFT JOIN prof b ON b.customer_id = c.customer_id AND b.name = p_brand LEFT JOIN prof m ON m.customer_id = c.customer_id AND m.name = p_type
+      LEFT JOIN had h ON h.customer_id = c.customer_id AND h.product_id = c.product_id)"""
+
+
+def fixed(x):
+    """Factors, seen pairs and content as in ``_FIXED``."""
+    t = lambda name: x.spark.read.parquet(f"{x.folder}/{name}.parquet")
+    of = lambda *cells: F.array(*[c.cast("double") for c in cells]).alias("f")
+    users = t("customer").select(F.col("c_custkey").cast("string").alias("customer_id"), of(F.col("c_acctbal").cast("double") / 10000, (F.col("c_nationkey") - 12) / 25.0, F.lit(0.5)))
+    part = t("part").withColumn("product_id", F.col("p_partkey").cast("string"))
+    items = part.select("product_id", of(F.col("p_size").cast("double") / 50, F.col("p_retailprice").cast("double") / 2000, (F.col("p_partkey") % 13 - 6) / 13.0))
+    had = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").cast("string").alias("customer_id"), F.col("l_partkey").cast("string").alias("product_id")).distinct()
+    traits = part.select("product_id", F.explode(F.array("p_brand", "p_type")).alias("feature"), F.lit(0.5).alias("weight"))
+    return factors.Factors(users, items, []), had, traits
+
+
+def fixed_profiles(had, traits):
+    """Shares of a customer's items with a trait; with item weights of one half this is the mean cosine."""
+    return rec.content_profile(had, traits.withColumn("weight", F.lit(1.0)))
+
+
+@query(
+    "rc_02_masked_scores_of_fixed_factors",
+    "product_id score:f",
+    _FIXED + " SELECT product_id, cf AS score FROM both_scores WHERE customer_id = (SELECT min(customer_id) FROM had) AND NOT seen",
+)
+def _(x):
+    f, had, _traits = fixed(x)
+    user = had.agg(F.min("customer_id").alias("u")).first()["u"]
+    return factors.user_scores(f, user, had).filter("score is not null")
+
+
+@query(
+    "rc_04_hybrid_top_k_of_fixed_factors",
+    "customer_id product_id rank:i score:f",
+    _FIXED + """, b AS (SELECT *, min(cf) OVER w AS a1, max(cf) OVER w AS a2, min(cb) OVER w AS b1, max(cb) OVER w AS b2 FROM both_scores WINDOW w AS (PARTITION BY customer_id)),
+    s AS (SELECT customer_id, product_id, 0.8::DOUBLE * (cf - a1) / (a2 - a1 + 1e-9::DOUBLE) + 0.2::DOUBLE * (cb - b1) / (b2 - b1 + 1e-9::DOUBLE) AS score FROM b WHERE NOT seen)
+    SELECT customer_id, product_id, score, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 10) DESC, product_id) AS rank FROM s
+    QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 10) DESC, product_id) <= 10""",
+)
+def _(x):
+    f, had, traits = fixed(x)
+    return factors.recommend_all(f, had, 10, traits, fixed_profiles(had, traits), 0.8)
+
+
+@query(
+    "rc_04_single_user_of_fixed_factors",
+    "product_id rank:i score:f",
+    _FIXED + """, b AS (SELECT *, min(cf) FILTER (WHERE NOT seen) OVER () AS a1, max(cf) FILTER (WHERE NOT seen) OVER () AS a2, min(cb) OVER () AS b1, max(cb) OVER () AS b2
+      FROM both_scores WHERE customer_id = (SELECT min(customer_id) FROM had)),
+    s AS (SELECT product_id, 0.8::DOUBLE * (cf - a1) / (a2 - a1 + 1e-9::DOUBLE) + 0.2::DOUBLE * (cb - b1) / (b2 - b1 + 1e-9::DOUBLE) AS score FROM b WHERE NOT seen)
+    SELECT product_id, score, row_number() OVER (ORDER BY round(score, 10) DESC, product_id) AS rank FROM s QUALIFY row_number() OVER (ORDER BY round(score, 10) DESC, product_id) <= 10""",
+)
+def _(x):
+    f, had, traits = fixed(x)
+    user = had.agg(F.min("customer_id").alias("u")).first()["u"]
+    return factors.recommend_user(f, user, had, 10, traits, fixed_profiles(had, traits))
+
+
 @query("ev_14_hybrid_hit_rate", "k:i n_evaluated:i hit_rate:f mrr:f")
 def _(x):
     return E.hit_rate(hybrid(x), truth(x), [1, 5, 10, 20, 50], "customer_id", "product_id", "rank")
@@ -498,14 +568,12 @@ def _(x):
 
 @query("rc_13_alpha_sweep", "alpha:f k:i n_evaluated:i hit_rate:f mrr:f")
 def _(x):
-    parts = []
-    for alpha in (0.0, 0.5, 0.8, 1.0):
-        top = factors.recommend_all(svd(x), train_seen(x), 10, content(x), profiles(x), alpha)
-        parts.append(E.hit_rate(top, truth(x), [10], "customer_id", "product_id", "rank").withColumn("alpha", F.lit(alpha)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    alphas = [0.0, 0.5, 0.8, 1.0]
+    top = x.stored("alpha_lists", lambda: factors.recommend_all(svd(x), train_seen(x), 10, content(x), profiles(x), alphas))
+    parts = [
+        E.hit_rate(top.filter(F.col("alpha") == a), truth(x), [10], "customer_id", "product_id", "rank").withColumn("alpha", F.lit(a)) for a in alphas
+    ]
+    return union_all(parts)
 
 
 def recommendation_lists(x):
@@ -516,7 +584,7 @@ def recommendation_lists(x):
         warm = hybrid(x).join(warm_ids, "customer_id", "left_semi")
         cold_ids = routes.join(warm_ids, "customer_id", "left_anti")
         listing = rec.category_top(bought.filter(f"order_date < date'{SPLIT_DATE}'"), x.staging.products)
-        return customer360.recommendation_lists(warm, rec.cold_start(cold_ids, bought, x.staging.products, listing, 3))
+        return customer360.recommendation_lists(warm, rec.cold_start(cold_ids, bought, x.staging.products, listing, 3, None))
 
     return x.stored("recommendation_lists", build)
 

@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.operators import ordered
-from shelfsense.operators.quality import union_all
 from shelfsense.session import durable
 
 USER, ITEM = "customer_id", "product_id"
 ALPHA = 0.8
-# Items scored at once: this many vectors are shipped to the tasks per pass.
-BLOCK_ITEMS = 50_000
 
 
 @dataclass
@@ -118,20 +115,32 @@ def spectrum(values: Sequence[float], spark) -> DataFrame:
 
 # --- scoring -----------------------------------------------------------------------------
 
+#: Items per block (ordered by falling norm) and users that a task meets with one block at a time.
+BLOCK_ITEMS, BLOCK_USERS = 5_000, 20_000
+# Scores of a task computed at once.
+_CELLS = 4_000_000
 
-def _item_table(factors: Factors, content: DataFrame | None) -> tuple[DataFrame, int]:
-    """Items numbered by id, with their latent vector and their content features as a map."""
-    items = factors.items
+
+def prefix(factors: Factors, rank: int) -> Factors:
+    """The factors of a smaller rank: components come in order of their singular value."""
+    cut = lambda df: df.withColumn("f", F.slice("f", 1, rank))
+    return Factors(cut(factors.users), cut(factors.items), factors.values[:rank])
+
+
+def _as_maps(features: DataFrame, key: str, name: str) -> DataFrame:
+    return features.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias(name))
+
+
+def _item_blocks(factors: Factors, content: DataFrame | None, block_items: int) -> DataFrame:
+    """Items with their latent vector, their content features as a map, a number by falling norm, and a block."""
+    items = factors.items.withColumn("norm", F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, x: a + x * x)))
     if content is not None:
-        maps = content.groupBy(ITEM).agg(
-            F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("content")
-        )
-        items = items.join(maps, ITEM, "left")
+        items = items.join(_as_maps(content, ITEM, "content"), ITEM, "left")
     else:
         items = items.withColumn("content", F.lit(None).cast("map<string,double>"))
-    numbered = ordered.row_number(items, [], [ITEM], "_n").withColumn("idx", F.col("_n") - 1).drop("_n")
-    numbered = durable(numbered)
-    return numbered, numbered.count()
+    numbered = ordered.row_number(items, [], [F.col("norm").desc(), F.col(ITEM)], "_n")
+    idx = F.col("_n") - 1
+    return durable(numbered.select(ITEM, "f", "content", "norm", idx.alias("idx"), F.floor(idx / block_items).cast("int").alias("block")))
 
 
 def _dense(maps: Sequence, index: dict[str, int]) -> np.ndarray:
@@ -145,17 +154,48 @@ def _dense(maps: Sequence, index: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _scores(pdf: pd.DataFrame, block) -> tuple[np.ndarray, np.ndarray | None]:
-    _, _, vf, vc, index = block
-    cf = np.stack(pdf["f"].to_numpy()) @ vf.T
-    cb = _dense(pdf["profile"].to_numpy(), index) @ vc.T if vc is not None else None
-    return cf, cb
+def _features(maps: Sequence) -> dict[str, int]:
+    return {n: j for j, n in enumerate(sorted({n for m in maps if m is not None for n in dict(m)}))}
+
+
+class _Block:
+    """A block of items inside a task, in product id order, and its scores for some users."""
+
+    def __init__(self, items: pd.DataFrame, hybrid: bool):
+        items = items.sort_values(f"i_{ITEM}", ignore_index=True)
+        self.names = items[f"i_{ITEM}"].to_numpy()
+        self.latent = np.stack(items["i_f"].to_numpy())
+        self.index = _features(items["i_content"]) if hybrid else {}
+        self.content = _dense([None if m is None else dict(m) for m in items["i_content"]], self.index) if hybrid else None
+        self._place = {n: j for j, n in enumerate(items["i_idx"].tolist())}
+
+    def slices(self, users: pd.DataFrame):
+        step = max(1, _CELLS // len(self.names))
+        for at in range(0, len(users), step):
+            part = users.iloc[at : at + step]
+            latent = np.stack(part["f"].to_numpy()) @ self.latent.T
+            mask = np.zeros(latent.shape, dtype=bool)
+            for i, seen in enumerate(part["seen"]):
+                if seen is not None:
+                    mask[i, [self._place[j] for j in seen]] = True
+            content = _dense(part["profile"].to_numpy(), self.index) @ self.content.T if self.content is not None else None
+            yield part, latent, content, mask
+
 
+def _met(users: DataFrame, items: DataFrame, seen: DataFrame, run, schema: str) -> DataFrame:
+    """``run(users, items)`` for every block of ``users`` (one row per user and item block) with its block of items.
 
-def _slices(pdf: pd.DataFrame, width: int, cells: int = 4_000_000):
-    step = max(1, cells // max(width, 1))
-    for s in range(0, len(pdf), step):
-        yield pdf.iloc[s : s + step].reset_index(drop=True)
+    Both sides of a task are bounded: users sent to an item block are dealt into blocks of their own, and
+    the item block goes to each of these. ``seen`` has a user's seen items of one block in a row.
+    """
+    load = users.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_USERS)).cast("int").alias("parts"))
+    load = durable(load)  # a row per item block
+    left = users.join(seen, [USER, "block"], "left").join(F.broadcast(load), "block")
+    left = left.withColumn("part", F.pmod(F.xxhash64(USER), "parts").cast("int"))
+    held = items.select(*[F.col(c).alias(f"i_{c}") for c in (ITEM, "f", "content", "idx", "block")])
+    dealt = F.broadcast(load.select(F.col("block").alias("i_block"), F.col("parts").alias("i_parts")))
+    right = held.join(dealt, "i_block").withColumn("i_part", F.explode(F.sequence(F.lit(0), F.col("i_parts") - 1)))
+    return left.groupBy("block", "part").cogroup(right.groupBy("i_block", "i_part")).applyInPandas(run, schema)
 
 
 def recommend_all(
@@ -164,107 +204,140 @@ def recommend_all(
     k: int = 10,
     content: DataFrame | None = None,
     profiles: DataFrame | None = None,
-    alpha: float = ALPHA,
+    alpha: float | Sequence[float] = ALPHA,
     mask_before_scaling: bool = False,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """Top-k unseen items of every user with factors: (customer_id, product_id, rank, score).
+    """Top-k unseen items of every user with factors: (customer_id, product_id, score, rank).
 
-    With content the latent and the content score are scaled to 0..1 per user and blended by
-    ``alpha``. Items are taken block by block, so what is shipped to the tasks is bounded; per
-    user and block only bounds and ``k`` rows come back, and the blocks are merged exactly.
+    With content the latent and the content score are scaled to 0..1 per user and blended by ``alpha``;
+    several alphas are served by the same scoring and come with a column ``alpha``.
     ``mask_before_scaling`` leaves seen items out of the latent bounds (single-user form).
+
+    A join of largest inner products: items lie in blocks by falling norm, users meet the first block,
+    and then only the blocks whose largest norm may still beat their k-th score. Per user and
+    block k rows come back, and lists of blocks merge exactly; equal scores go by product id.
     """
-    hybrid = content is not None and profiles is not None and alpha < 1.0
-    items, n_items = _item_table(factors, content if hybrid else None)
-    places = seen.join(items.select(ITEM, "idx"), ITEM).groupBy(USER).agg(F.collect_set("idx").alias("seen"))
-    users = factors.users.join(places, USER, "left")
+    many = not isinstance(alpha, (int, float))
+    alphas = [float(a) for a in alpha] if many else [float(alpha)]
+    hybrid = content is not None and profiles is not None and min(alphas) < 1.0
+    items = _item_blocks(factors, content if hybrid else None, block_items)
+    # A row per block of items.
+    norms = [r["norm"] for r in items.groupBy("block").agg(F.max("norm").alias("norm")).orderBy("block").collect()]
+    if not norms:
+        return factors.users.select(USER, F.lit("").alias(ITEM), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    norms = np.array(norms)
+    had = durable(seen.select(USER, ITEM).join(items.select(ITEM, "idx", "block"), ITEM).groupBy(USER, "block").agg(F.collect_set("idx").alias("seen")))
+    users = factors.users.select(USER, "f")
     if hybrid:
-        maps = profiles.groupBy(USER).agg(
-            F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("profile")
-        )
-        users = users.join(maps, USER, "left")
+        users = users.join(_as_maps(profiles, USER, "profile"), USER, "left")
     else:
         users = users.withColumn("profile", F.lit(None).cast("map<string,double>"))
     users = durable(users)
-    sc = users.sparkSession.sparkContext
-    blocks = []
-    for lo in range(0, n_items, block_items):
-        part = items.filter((F.col("idx") >= lo) & (F.col("idx") < lo + block_items)).orderBy("idx").toPandas()
-        vf = np.stack(part["f"].to_numpy())
-        vc, index = None, {}
-        if hybrid:
-            names = sorted({n for m in part["content"] if m is not None for n in dict(m)})
-            index = {n: j for j, n in enumerate(names)}
-            vc = _dense([None if m is None else dict(m) for m in part["content"]], index)
-        blocks.append(sc.broadcast((lo, part[ITEM].to_numpy(), vf, vc, index)))
 
     if hybrid:
-        # Pass one: per-user bounds over all blocks.
-        def bounds(block):
-            def run(batches):
-                for pdf in batches:
-                    for part in _slices(pdf, len(block.value[1])):
-                        cf, cb = _scores(part, block.value)
-                        low, high = cf, cf
-                        if mask_before_scaling:
-                            low, high = cf.copy(), cf.copy()
-                            for i, s in enumerate(part["seen"]):
-                                for j in _local(s, block.value):
-                                    low[i, j], high[i, j] = np.inf, -np.inf
-                        yield pd.DataFrame(
-                            {USER: part[USER], "a": low.min(axis=1), "b": high.max(axis=1), "c": cb.min(axis=1), "d": cb.max(axis=1)}
-                        )
-
-            return run
-
-        spans = union_all(
-            [users.mapInPandas(bounds(b), f"{USER} string, a double, b double, c double, d double") for b in blocks]
-        )
-        spans = spans.groupBy(USER).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d"))
-        users = users.join(spans, USER)
-
-    def best(block):
-        def run(batches):
+        users = durable(users.join(_bounds(users, items, had, len(norms), mask_before_scaling), USER))
+    else:
+        users = users.select("*", *[F.lit(0.0).alias(c) for c in "abcd"])
+
+    def blended(part: pd.DataFrame, latent: np.ndarray, mixed: np.ndarray | None, share: float) -> np.ndarray:
+        if not hybrid:
+            return latent.copy()
+        a, b, c, d = (part[n].to_numpy()[:, None] for n in "abcd")
+        return share * (latent - a) / (b - a + 1e-9) + (1 - share) * (mixed - c) / (d - c + 1e-9)
+
+    def best(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {USER: [], ITEM: [], "score": [], "alpha": []}
+        if len(own) and len(block):
+            held = _Block(block, hybrid)
+            for part, latent, mixed, mask in held.slices(own):
+                for share in alphas:
+                    # The last digits of a product depend on the shapes of its matrices.
+                    score = np.round(blended(part, latent, mixed, share), 10)
+                    score[mask] = -np.inf
+                    top = min(k, score.shape[1])
+                    least = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+                    for i, user in enumerate(part[USER]):
+                        pick = np.flatnonzero((score[i] >= least[i]) & np.isfinite(score[i]))
+                        pick = pick[np.argsort(-score[i, pick], kind="stable")][:top]
+                        out[USER] += [user] * len(pick)
+                        out[ITEM] += held.names[pick].tolist()
+                        out["score"] += score[i, pick].tolist()
+                        out["alpha"] += [share] * len(pick)
+        return pd.DataFrame(out, dtype=object).astype({"score": float, "alpha": float})
+
+    schema = f"{USER} string, {ITEM} string, score double, alpha double"
+    columns = [USER, "f", "profile", *"abcd"]
+    found = _met(users.select(*columns, F.lit(0).alias("block")), items, had, best, schema)
+    if len(norms) > 1:
+        found = durable(found)
+        level = found.groupBy(USER, "alpha").agg(F.when(F.count("*") >= k, F.min("score")).alias("level"))
+        levels = level.groupBy(USER).agg(F.map_from_entries(F.collect_list(F.struct("alpha", "level"))).alias("levels"))  # a row per alpha
+
+        def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for part in _slices(pdf, len(block.value[1])):
-                    score, cb = _scores(part, block.value)
+                norm = np.sqrt(np.array([np.square(f).sum() for f in pdf["f"]]))
+                need = np.zeros((len(pdf), len(norms)), dtype=bool)
+                for share in alphas:
+                    held = [dict(m) if m is not None else {} for m in pdf["levels"]]
+                    kth = np.array([-np.inf if m.get(share) is None else m[share] for m in held])
+                    high = norm[:, None] * norms[None, :]
                     if hybrid:
-                        a, b, c, d = (part[n].to_numpy()[:, None] for n in "abcd")
-                        score = alpha * (score - a) / (b - a + 1e-9) + (1 - alpha) * (cb - c) / (d - c + 1e-9)
-                    for i, s in enumerate(part["seen"]):
-                        score[i, _local(s, block.value)] = -np.inf
-                    top = min(k, score.shape[1])
-                    # Equal scores keep the item order, which is the product id order.
-                    order = np.argsort(-score, axis=1, kind="stable")[:, :top]
-                    value = np.take_along_axis(score, order, axis=1)
-                    keep = np.isfinite(value)
-                    yield pd.DataFrame(
-                        {
-                            USER: np.repeat(part[USER].to_numpy(), top)[keep.ravel()],
-                            ITEM: block.value[1][order].ravel()[keep.ravel()],
-                            "score": value.ravel()[keep.ravel()],
-                        }
-                    )
-
-        return run
-
-    found = union_all([users.mapInPandas(best(b), f"{USER} string, {ITEM} string, score double") for b in blocks])
-    w = Window.partitionBy(USER).orderBy(F.col("score").desc(), ITEM)  # k rows per block
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _local(seen, block) -> list[int]:
-    """Positions inside the block of the seen item numbers."""
-    if seen is None:
-        return []
-    lo, n = block[0], len(block[1])
-    return [int(j) - lo for j in seen if lo <= j < lo + n]
+                        a, b = (pdf[n].to_numpy()[:, None] for n in "ab")
+                        high = share * (high - a) / (b - a + 1e-9) + (1 - share)
+                    # Rounding must not hide a block that just reaches.
+                    need |= high >= kth[:, None] - 1e-9 * (1 + np.abs(kth[:, None]))
+                need[:, 0] = False
+                yield pdf.drop(columns="levels").assign(blocks=[np.flatnonzero(x).astype("int32") for x in need])
+
+        asked = users.join(levels, USER, "left").select(*columns, "levels")
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in users.select(*columns).schema.fields)
+        sent = durable(asked.mapInPandas(visits, f"{fields}, blocks array<int>"))
+        rest = _met(sent.select(*columns, F.explode("blocks").alias("block")), items, had, best, schema)
+        found = found.unionByName(rest)
+    w = Window.partitionBy(USER, "alpha").orderBy(F.col("score").desc(), ITEM)  # k rows per block met
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked if many else ranked.drop("alpha")
+
+
+def _bounds(users: DataFrame, items: DataFrame, seen: DataFrame, blocks: int, masked: bool) -> DataFrame:
+    """Least and greatest latent (a, b) and content (c, d) score of each user over all items."""
+
+    def spans(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(own) and len(block):
+            for part, latent, mixed, mask in _Block(block, True).slices(own):
+                low, high = (np.where(mask, np.inf, latent), np.where(mask, -np.inf, latent)) if masked else (latent, latent)
+                parts.append(pd.DataFrame({USER: part[USER], "a": low.min(axis=1), "b": high.max(axis=1), "c": mixed.min(axis=1), "d": mixed.max(axis=1)}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in (USER, *"abcd")}, dtype=object)
+
+    every = users.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = _met(every, items, seen, spans, f"{USER} string, a double, b double, c double, d double")
+    return found.groupBy(USER).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d"))
+
+
+def recommend_user(
+    factors: Factors, user: str, seen: DataFrame, k: int = 10, content: DataFrame | None = None, profiles: DataFrame | None = None, alpha: float = ALPHA
+) -> DataFrame:
+    """The list of one user, with seen items left out before scaling: (product_id, score, rank).
 
+    Without anything seen, or at alpha 1, the plain latent scores count.
+    """
+    one = Factors(factors.users.filter(F.col(USER) == user), factors.items, factors.values)
+    mine = seen.filter(F.col(USER) == user)
+    if mine.isEmpty():
+        content = profiles = None
+    own = None if profiles is None else profiles.filter(F.col(USER) == user)
+    return recommend_all(one, mine, k, content, own, alpha, mask_before_scaling=True).drop(USER)
 
-def user_scores(factors: Factors, user: str) -> DataFrame:
-    """Latent score of every item for one user (linear in the catalogue)."""
+
+def user_scores(factors: Factors, user: str, seen: DataFrame | None = None) -> DataFrame:
+    """Latent score of every item for one user (linear in the catalogue); null where the user has seen it."""
     one = factors.users.filter(F.col(USER) == user).select(F.col("f").alias("uf"))
     rows = factors.items.withColumn("uf", one.scalar())
     dot = F.aggregate(F.zip_with("f", "uf", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.select(ITEM, dot.alias("score"))
+    scored = rows.select(ITEM, dot.alias("score"))
+    if seen is None:
+        return scored
+    had = seen.filter(F.col(USER) == user).select(ITEM, F.lit(True).alias("had")).distinct()
+    return scored.join(had, ITEM, "left").select(ITEM, F.when(F.col("had").isNull(), F.col("score")).alias("score"))

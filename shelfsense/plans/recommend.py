@@ -174,23 +174,25 @@ def bought_counts(bought: DataFrame) -> DataFrame:
     return bought.groupBy(*PAIR).agg(F.count("*").alias("c"))
 
 
-def preferred_categories(counts_per_item: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
+def preferred_categories(counts_per_item: DataFrame, products: DataFrame, n: int | None = 3) -> DataFrame:
+    """A user's categories by falling number of bought rows, the first ``n`` or all."""
     counts = (
         counts_per_item.join(products.select("product_id", "category"), "product_id")
         .groupBy("customer_id", "category")
         .agg(F.sum("c").alias("bought"))
     )
     w = Window.partitionBy("customer_id").orderBy(F.col("bought").desc(), "category")
-    return counts.withColumn("cat_rank", F.row_number().over(w)).filter(F.col("cat_rank") <= n)
+    ranked = counts.withColumn("cat_rank", F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col("cat_rank") <= n)
 
 
 def cold_start(
-    users: DataFrame, bought: DataFrame, products: DataFrame, category_list: DataFrame, k: int = 10
+    users: DataFrame, bought: DataFrame, products: DataFrame, category_list: DataFrame, k: int = 10, categories: int | None = 3
 ) -> DataFrame:
-    """Unseen best sellers of the user's top categories, then of all categories in name order."""
+    """Unseen best sellers of the user's top categories (None: all the user has), then of all categories in name order."""
     mine = durable(bought_counts(bought.join(users.select("customer_id"), "customer_id", "left_semi")))
     seen = mine.select(*PAIR)
-    liked = preferred_categories(mine, products)
+    liked = preferred_categories(mine, products, categories)
     category_list = durable(category_list)
     w = Window.partitionBy("customer_id").orderBy("cat_rank", "pop_rank")
     own = (

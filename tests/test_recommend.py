@@ -48,6 +48,11 @@ def test_hybrid_top_k_is_exact_for_any_block_size(spark, matrix, masked):
     one = factors.recommend_all(f, seen, 5, content, profile, 0.7, masked).toPandas()
     many = factors.recommend_all(f, seen, 5, content, profile, 0.7, masked, block_items=7).toPandas()
     key = ["customer_id", "rank"]
+    blends = factors.recommend_all(f, seen, 5, content, profile, [0.2, 0.7], masked, block_items=7).toPandas()
+    assert blends[blends.alpha == 0.7].sort_values(key)["product_id"].tolist() == one.sort_values(key)["product_id"].tolist()
+    if masked:
+        own = factors.recommend_user(f, "C17", seen, 5, content, profile, 0.7).toPandas().sort_values("rank")
+        assert own["product_id"].tolist() == one[one.customer_id == "C17"].sort_values("rank")["product_id"].tolist()
     assert one.sort_values(key)["product_id"].tolist() == many.sort_values(key)["product_id"].tolist()
 
     users = {r.customer_id: np.array(r.f) for r in f.users.collect()}
@@ -110,3 +115,44 @@ def test_similar_items_excludes_itself(spark):
     out = rec.similar_items(_content(spark), "P00", 3).collect()
     assert len(out) == 3 and "P00" not in {r.product_id for r in out}
     assert all(0 < r.cosine <= 1 + 1e-9 for r in out)
+
+
+def test_users_meet_only_blocks_that_can_matter(spark, monkeypatch):
+    """Plain inner products with items of very different norms, small blocks on both sides, against dense scores."""
+    monkeypatch.setattr(factors, "BLOCK_USERS", 9)
+    rng = np.random.default_rng(19)
+    u = rng.normal(size=(50, 4))
+    v = rng.normal(size=(60, 4)) * np.exp(-np.arange(60) / 8)[:, None]
+    v[40:] = v[39]  # equal scores
+    users = spark.createDataFrame([(f"C{i:02d}", [float(x) for x in r]) for i, r in enumerate(u)], "customer_id string, f array<double>")
+    items = spark.createDataFrame([(f"P{j:02d}", [float(x) for x in r]) for j, r in enumerate(v)], "product_id string, f array<double>")
+    seen = spark.createDataFrame([(f"C{i:02d}", f"P{j:02d}") for i in range(50) for j in range(60) if (i * j) % 7 == 1], "customer_id string, product_id string")
+    got = factors.recommend_all(factors.Factors(users, items, []), seen, 6, block_items=8).toPandas()
+    for i in range(50):
+        score = [(-round(float(u[i] @ v[j]), 9), j) for j in range(60) if (i * j) % 7 != 1]
+        want = [f"P{j:02d}" for _, j in sorted(score)[:6]]
+        assert got[got.customer_id == f"C{i:02d}"].sort_values("rank")["product_id"].tolist() == want
+    assert factors.recommend_all(factors.Factors(users, items.limit(0), []), seen, 6).count() == 0
+
+
+def test_scores_of_one_user_leave_out_what_is_seen(spark):
+    f = factors.Factors(
+        spark.createDataFrame([("a", [1.0, 2.0])], "customer_id string, f array<double>"),
+        spark.createDataFrame([("x", [1.0, 1.0]), ("y", [0.0, 1.0])], "product_id string, f array<double>"),
+        [],
+    )
+    seen = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "customer_id string, product_id string")
+    assert {(r.product_id, r.score) for r in factors.user_scores(f, "a", seen).collect()} == {("x", None), ("y", 2.0)}
+    assert {(r.product_id, r.score) for r in factors.user_scores(factors.prefix(f, 1), "a").collect()} == {("x", 1.0), ("y", 0.0)}
+    assert [(r.product_id, r["rank"]) for r in factors.recommend_user(f, "a", seen).collect()] == [("y", 1)]
+
+
+def test_cold_start_walks_all_categories_of_a_user(spark):
+    products = spark.createDataFrame([(f"{c}{i}", c) for c in "abcde" for i in range(3)], "product_id string, category string")
+    bought = [("u", f"{c}0") for c in "abcd" for _ in range("dbca".index(c) + 1)] + [("v", f"{c}{i}") for c in "abcde" for i in range(3)]
+    bought = spark.createDataFrame(bought, "customer_id string, product_id string")
+    top = rec.category_top(bought, products, 2)
+    users = spark.createDataFrame([("u",)], "customer_id string")
+    lists = {n: [r.product_id for r in rec.cold_start(users, bought, products, top, 5, n).orderBy("rank").collect()] for n in (2, None)}
+    assert lists[None] == ["a1", "c1", "b1", "d1", "e0"]
+    assert lists[2] == ["a1", "c1", "b1", "d1", "e0"][:2] + ["b1", "d1", "e0"]
