@@ -1,9 +1,11 @@
 """Model jobs. They have no SQL counterpart; tests check them on small fixtures."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from shelfsense.operators import bootstrap as B
+from shelfsense.operators import clusters as CL
 from shelfsense.operators import evaluation as E
 from shelfsense.operators import stats as ST
 from shelfsense.operators.quality import union_all
@@ -264,12 +266,79 @@ def _(x):
 
 @query("ml_15_k_sweep", "k:i seed:i inertia:f silhouette:f")
 def _(x):
-    return SEG.k_sweep(buyers(x)[0], [2, 3, 4, 5], seeds=(42, 7))
+    return SEG.k_sweep(buyers(x)[0], list(range(2, 11)), seeds=(42, 7))
 
 
 @query("ml_16_mixture_sweep", "k:i log_likelihood:f bic:f aic:f")
 def _(x):
-    return SEG.mixture_sweep(buyers(x)[0], [2, 3, 4])
+    return SEG.mixture_sweep(buyers(x)[0], list(range(2, 9)))
+
+
+# Three Lloyd steps and two of expectation maximisation from given starts, so that SQL can walk them too.
+_POINTS = "SELECT p_partkey, CAST(p_size AS DOUBLE) / 10 AS x, CAST(p_retailprice AS DOUBLE) / 500 AS y FROM part"
+_CENTRES = [(1.0, 2.0), (4.0, 2.5), (2.5, 4.0)]
+
+
+def _lloyd_sql(steps: int) -> str:
+    ctes = [f"p AS ({_POINTS})", "c0(j, x, y) AS (VALUES " + ", ".join(f"({j}, {a}::DOUBLE, {b}::DOUBLE)" for j, (a, b) in enumerate(_CENTRES)) + ")"]
+    for s in range(steps + 1):
+        ctes.append(
+            f"l{s} AS (SELECT p.*, j, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d FROM p, c{s} c "
+            "QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY d, j) = 1)"
+        )
+        ctes.append(f"c{s + 1} AS (SELECT j, avg(x) AS x, avg(y) AS y FROM l{s} GROUP BY j)")
+    return f"WITH {', '.join(ctes)} SELECT p_partkey, j AS label, d AS square FROM l{steps}"
+
+
+def points(x):
+    t = x.spark.read.parquet(f"{x.folder}/part.parquet")
+    cells = F.array(F.col("p_size").cast("double") / 10, F.col("p_retailprice").cast("double") / 500)
+    return x.stored("part_points", lambda: t.select("p_partkey", cells.alias("v")))
+
+
+@query("ml_13_lloyd_steps", "p_partkey:i label:i square:f", _lloyd_sql(3))
+def _(x):
+    fit = CL.lloyd(points(x), "v", [CL.KMeansFit(0, np.array(_CENTRES))], iterations=3, tolerance=0.0)[0]
+    rows = fit.transform(points(x), "v", "label")
+    centre = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in fit.centres])[F.col("label")]
+    return rows.withColumn("square", F.aggregate(F.zip_with("v", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+
+
+_COMPONENTS = [(0.6, (1.5, 2.2), (1.0, 0.5)), (0.4, (4.0, 3.0), (0.7, 0.9))]
+
+
+def _mixture_sql(steps: int) -> str:
+    given = ", ".join(f"({j}, {w}::DOUBLE, {m[0]}::DOUBLE, {m[1]}::DOUBLE, {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for j, (w, m, v) in enumerate(_COMPONENTS))
+    ctes = [f"p AS ({_POINTS})", f"c0(j, w, mx, my, vx, vy) AS (VALUES {given})"]
+    for s in range(steps + 1):
+        ctes.append(
+            f"e{s} AS (SELECT p.*, j, w * exp(-0.5 * ((x - mx) * (x - mx) / vx + (y - my) * (y - my) / vy)) / (2 * pi() * sqrt(vx * vy)) AS f FROM p, c{s})"
+        )
+        ctes.append(f"r{s} AS (SELECT *, f / sum(f) OVER (PARTITION BY p_partkey) AS r FROM e{s})")
+        ctes.append(
+            f"c{s + 1} AS (SELECT j, sum(r) / (SELECT count(*) FROM p) AS w, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, "
+            f"sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2) + 1e-6::DOUBLE AS vx, sum(r * y * y) / sum(r) - pow(sum(r * y) / sum(r), 2) + 1e-6::DOUBLE AS vy FROM r{s} GROUP BY j)"
+        )
+    ctes.append(f"ll AS (SELECT sum(ln(f)) AS ll, count(*) AS n FROM (SELECT sum(f) AS f FROM e{steps} GROUP BY p_partkey))")
+    return (
+        f"WITH {', '.join(ctes)} SELECT j AS component, w AS weight, mx AS mean_x, my AS mean_y, vx AS variance_x, vy AS variance_y, "
+        f"ll / n AS mean_log_likelihood, (9 * ln(n) - 2 * ll) / n AS bic_per_row FROM c{steps}, ll"
+    )
+
+
+@query(
+    "ml_16_mixture_steps",
+    "component:i weight:f mean_x:f mean_y:f variance_x:f variance_y:f mean_log_likelihood:f bic_per_row:f",
+    _mixture_sql(2),
+)
+def _(x):
+    start = CL.Mixture(*[np.array([c[i] for c in _COMPONENTS]) for i in range(3)])
+    fit = CL.expectation_maximisation(points(x), "v", [start], iterations=2, tolerance=0.0)[0]
+    rows = [
+        (j, float(fit.weights[j]), *map(float, fit.means[j]), *map(float, fit.variances[j]), fit.log_likelihood / fit.rows, fit.bic / fit.rows) for j in range(fit.k)
+    ]
+    names = "component weight mean_x mean_y variance_x variance_y mean_log_likelihood bic_per_row".split()
+    return x.spark.createDataFrame(rows, names)
 
 
 @query("ml_17_named_clusters", "cluster_id:i segment_name n:i churn_rate:f")
@@ -305,8 +374,8 @@ def _(x):
 
 @query("ev_15_cluster_quality", "k:i n:i silhouette:f davies_bouldin:f calinski_harabasz:f inertia:f")
 def _(x):
-    rows = buyers(x)[0].select("customer_id", "parts")
-    model = SEG.best_kmeans(rows, 3, starts=3)
+    rows = x.stored("buyer_parts", lambda: buyers(x)[0].select("customer_id", "parts"))
+    model = SEG.best_kmeans(rows, 3)
     return SEG.cluster_quality(model.transform(rows), "parts", "raw_label")
 
 

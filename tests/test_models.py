@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsense.functions import outliers as O
+from shelfsense.operators import clusters as CL
 from shelfsense.operators import neighbours as NB
 from shelfsense.plans import features as FT
 from shelfsense.plans import returns as RET
@@ -144,6 +145,52 @@ def test_cluster_quality_against_formula(spark):
     assert r.calinski_harabasz == pytest.approx(between / (within / 68))
 
 
+def _blobs(spark, seed=18):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.normal(c, 0.6, (70, 2)) for c in ((0, 0), (6, 0), (0, 6))])
+    return x, spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>").repartition(5)
+
+
+def test_starts_and_sizes_share_scans_and_reach_a_fixed_point(spark):
+    x, df = _blobs(spark)
+    fits = CL.fit_kmeans(df, "v", [2, 3, 4], range(6))
+    assert [(f.k, f.seed) for f in fits] == [(k, s) for k in (2, 3, 4) for s in range(6)]
+    for f in fits:
+        d = ((x[:, None, :] - f.centres[None]) ** 2).sum(axis=2)
+        assert f.cost == pytest.approx(d.min(axis=1).sum())
+        label = d.argmin(axis=1)
+        assert np.allclose(f.centres, [x[label == j].mean(axis=0) if (label == j).any() else f.centres[j] for j in range(f.k)], atol=1e-3)
+    best = min((f for f in fits if f.k == 3), key=lambda f: f.cost)
+    assert {tuple(np.round(c / 6).astype(int)) for c in best.centres} == {(0, 0), (1, 0), (0, 1)}
+    rows = best.transform(df, "v").collect()
+    assert all(r.raw_label == ((np.array(r.v) - best.centres) ** 2).sum(axis=1).argmin() for r in rows)
+    # Squared-distance silhouettes against the formula over all pairs.
+    pair = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    for f, got in zip(fits[::5], CL.silhouettes(df, "v", fits)[::5]):
+        label = ((x[:, None, :] - f.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        want = []
+        for i in range(len(x)):
+            own = label == label[i]
+            a = pair[i, own].sum() / max(own.sum() - 1, 1)
+            b = min(pair[i, label == j].mean() for j in set(label) - {label[i]})
+            want.append((b - a) / max(a, b) if own.sum() > 1 else 0.0)
+        assert got == pytest.approx(np.mean(want))
+
+
+def test_mixtures_have_diagonal_covariance_and_improve(spark):
+    x, df = _blobs(spark)
+    fits = CL.fit_mixtures(df, "v", [1, 2, 3, 5])
+    one = fits[0]
+    assert np.allclose(one.means, x.mean(axis=0)[None]) and np.allclose(one.variances, x.var(axis=0)[None], atol=1e-4)
+    for f in fits:
+        logs = f.log_densities(x)
+        assert f.log_likelihood == pytest.approx(np.logaddexp.reduce(logs, axis=1).sum()) and f.rows == len(x)
+        assert f.bic == pytest.approx((4 * f.k + f.k - 1) * np.log(len(x)) - 2 * f.log_likelihood)
+    assert min(fits, key=lambda f: f.bic).k == 3
+    more = CL.expectation_maximisation(df, "v", [fits[1]], iterations=1, tolerance=0.0)[0]
+    assert more.log_likelihood >= fits[1].log_likelihood - 1e-6
+
+
 def _uplift_rows(spark, n=400):
     rng = np.random.default_rng(14)
     rows = []
