@@ -1,11 +1,13 @@
 """Sources, staging, projections, filters, scalar functions and set operations."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from shelfsense.functions import columns as C
 from shelfsense.operators.joins import with_scalar
 from shelfsense.sources import raw as R
+from shelfsense.sources.standin import RAW_TABLES
 from shelfsense.sources.staging import COLUMNS
 
 # --- staging projections (SRC-04), one query per raw table --------------------------------
@@ -116,6 +118,25 @@ def _(x):
     return x.spark.sql("select order_status, count(*) as orders, sum(net_amount) as net from orders group by order_status")
 
 
+_MEASURES = {"orders": "net_amount", "returns": "refund_amount"}
+_SQL_NAMES = {n: t for n, (t, *_) in _STAGED.items()} | {"order_items": "r_items", "campaign_targets": "r_targets", "returns_hidden_labels": "r_labels"}
+
+
+def _count_sql(name, table):
+    return f"SELECT '{name}' AS table_name, count(*) AS n, CAST({f'sum({_MEASURES[name]})' if name in _MEASURES else 'NULL'} AS DOUBLE) AS total FROM {table}"
+
+
+@query("src_01_register_all_csv_views", "table_name n:i total:f", " UNION ALL ".join(_count_sql(n, _SQL_NAMES[n]) for n in RAW_TABLES))
+def _(x):
+    """Every raw table from header CSV with inferred types, counted through its view."""
+    folder = f"{x.mart_folder}/raw_all"
+    for name in RAW_TABLES:
+        x.raw(name).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    tables = R.load_raw(x.spark, folder, list(RAW_TABLES))
+    assert dict(tables["orders"].dtypes)["net_amount"] in ("double", "int", "bigint")
+    return x.spark.sql(" UNION ALL ".join(_count_sql(n, n) for n in RAW_TABLES))
+
+
 @query(
     "src_02_load_raw_table_csv",
     "store_id region city opening_date:d latitude_fake:f",
@@ -200,13 +221,19 @@ def _(x):
 
 @query(
     "snk_04_forced_overwrite",
-    "campaign_id offer_strength:f",
-    "SELECT * FROM r_campaigns",
+    "campaign_id offer_strength:f refused:b",
+    "SELECT *, true AS refused FROM r_campaigns",
 )
 def _(x):
+    """Existing raw data is kept without ``force``: the empty table must not have replaced it."""
     folder = f"{x.mart_folder}/guarded"
     R.write_raw_table(x.raw("campaigns"), folder, "campaigns", force=True)
-    return R.load_raw_table(x.spark, folder, "campaigns")
+    try:
+        R.write_raw_table(x.raw("campaigns").limit(0), folder, "campaigns")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return R.load_raw_table(x.spark, folder, "campaigns").withColumn("refused", F.lit(refused))
 
 
 # --- projections and filters -------------------------------------------------------------

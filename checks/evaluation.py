@@ -399,9 +399,9 @@ def _psi_sql(c):
         (SELECT count({c}) FILTER (WHERE NOT cur) AS tr, count({c}) FILTER (WHERE cur) AS tc FROM drift))) AS psi"""
 
 
-@query("mon_01_stability_index", "feature psi:f", " UNION ALL ".join(_psi_sql(c) for c in ("refund_amount", "item_net_price")))
+@query("mon_01_stability_index", "feature psi:f", " UNION ALL ".join(_psi_sql(c) for c in _DRIFT))
 def _(x):
-    return MON.stability_index(_drift_frame(x), ["refund_amount", "item_net_price"], F.col("is_test"))
+    return MON.stability_index(_drift_frame(x), _DRIFT, F.col("is_test"))
 
 
 def _ks_sql(c):
@@ -410,23 +410,35 @@ def _ks_sql(c):
         SELECT {c} AS x, count(*) FILTER (WHERE NOT cur) AS nr, count(*) FILTER (WHERE cur) AS nc FROM drift WHERE {c} IS NOT NULL GROUP BY 1))"""
 
 
-@query("mon_02_ks_two_sample", "feature n_ref:i n_cur:i ks_stat:f", " UNION ALL ".join(_ks_sql(c) for c in _DRIFT))
+def _ks_tail_sql(columns):
+    """Statistics with the asymptotic probability of a larger distance, 100 terms of its series."""
+    rows = " UNION ALL ".join(_ks_sql(c) for c in columns)
+    return f"""SELECT feature, n_ref, n_cur, ks_stat, CASE WHEN any_value(lam) < 1e-3 THEN 1.0
+          ELSE least(1.0, greatest(0.0, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * lam * lam)))) END AS ks_pval
+        FROM (SELECT *, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) * ks_stat AS lam FROM ({rows})), range(1, 101) t(j)
+        GROUP BY feature, n_ref, n_cur, ks_stat"""
+
+
+@query("mon_02_ks_two_sample", "feature n_ref:i n_cur:i ks_stat:f ks_pval:f", _ks_tail_sql(_DRIFT))
 def _(x):
     return MON.ks_test(_drift_frame(x), _DRIFT, F.col("is_test"))
 
 
+def _drift_sql(c):
+    return f"""SELECT 'mart_returns_risk' AS mart, '{c}' AS feature, r AS ref_mean, k AS cur_mean, (k - r) / (abs(r) + 1e-6::DOUBLE) * 100 AS mean_delta_pct,
+        ks_stat, ks_pval, psi, CASE WHEN psi > 0.2::DOUBLE THEN 'major' WHEN psi > 0.1::DOUBLE THEN 'moderate' ELSE 'stable' END AS psi_band,
+        CASE WHEN psi > 0.2::DOUBLE OR ks_pval < 0.01::DOUBLE THEN 'ALERT' WHEN psi > 0.1::DOUBLE OR ks_pval < 0.05::DOUBLE THEN 'WARN' ELSE 'OK' END AS status
+        FROM (SELECT avg({c}) FILTER (WHERE NOT cur) AS r, avg({c}) FILTER (WHERE cur) AS k FROM drift), (SELECT psi FROM ({_psi_sql(c)})),
+        (SELECT ks_stat, ks_pval FROM ({_ks_tail_sql([c])}))"""
+
+
 @query(
     "mon_03_drift_table",
-    "mart feature ref_mean:f cur_mean:f mean_delta_pct:f psi_band",
-    " UNION ALL ".join(
-        f"""SELECT 'mart_returns_risk' AS mart, '{c}' AS feature, r AS ref_mean, k AS cur_mean, (k - r) / (abs(r) + 1e-6::DOUBLE) * 100 AS mean_delta_pct,
-        CASE WHEN psi > 0.2::DOUBLE THEN 'major' WHEN psi > 0.1::DOUBLE THEN 'moderate' ELSE 'stable' END AS psi_band FROM
-        (SELECT avg({c}) FILTER (WHERE NOT cur) AS r, avg({c}) FILTER (WHERE cur) AS k FROM drift), ({_psi_sql(c)})"""
-        for c in ("refund_amount", "item_net_price")
-    ),
+    "mart feature ref_mean:f cur_mean:f mean_delta_pct:f ks_stat:f ks_pval:f psi:f psi_band status",
+    " UNION ALL ".join(_drift_sql(c) for c in _DRIFT),
 )
 def _(x):
-    return MON.drift_table(_drift_frame(x), "mart_returns_risk", ["refund_amount", "item_net_price"], F.col("is_test"))
+    return MON.drift_table(_drift_frame(x), "mart_returns_risk", _DRIFT, F.col("is_test"))
 
 
 _RULES_SQL = """

@@ -73,6 +73,23 @@ def _(x):
     return S.stratified(x.mart("customer_features").select("customer_id", "churn_flag_90d"), "churn_flag_90d", ["customer_id"], 0.2)
 
 
+_TIMED = """SELECT customer_id, split_strategy, CASE WHEN split_strategy = 'time_ordered' THEN by_time ELSE by_class END AS is_test FROM (
+    SELECT *, CASE WHEN (SELECT count({t}) > CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) FROM m_customer) AND (SELECT bool_and(c = 2) AND count(*) = 2 FROM
+        (SELECT by_time, count(DISTINCT churn_flag_90d) AS c FROM sides GROUP BY 1)) THEN 'time_ordered' ELSE 'stratified' END AS split_strategy FROM sides)"""
+_SIDES = """WITH sides AS (SELECT customer_id, churn_flag_90d,
+    row_number() OVER (ORDER BY {t} NULLS LAST, customer_id) > CAST(floor(count(*) OVER () * (1 - 0.2::DOUBLE)) AS BIGINT) AS by_time,
+    row_number() OVER (PARTITION BY churn_flag_90d ORDER BY md5(customer_id), customer_id) - 1 < round(count(*) OVER (PARTITION BY churn_flag_90d) * 0.2::DOUBLE) AS by_class
+    FROM m_customer) """
+
+# Registration dates are known for everyone; the last order date decides the churn label by itself, so one side lacks a class.
+for _name, _time in (("ft_05_time_first_split", "signup_date"), ("ft_05_split_fallback", "last_order_date")):
+
+    @query(_name, "customer_id is_test:b split_strategy", (_SIDES + _TIMED).format(t=_time))
+    def _(x, t=_time):
+        rows = x.mart("customer_features").select("customer_id", "churn_flag_90d", t)
+        return S.time_else_stratified(rows, "churn_flag_90d", t, ["customer_id"])
+
+
 @query(
     "ft_06_drift_split",
     "order_item_id is_test:b",

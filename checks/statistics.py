@@ -148,17 +148,24 @@ def _(x):
     return ST.pearson_pairs(x.mart("customer_features"), _NUM)
 
 
-@query(
-    "st_11_drop_correlated",
-    "dropped",
-    """SELECT 'total_net_revenue' AS dropped FROM m_customer HAVING abs(corr(total_orders, total_net_revenue)) >= 0.8::DOUBLE
-       UNION ALL SELECT 'total_units' FROM m_customer HAVING abs(corr(total_orders, total_units)) >= 0.8::DOUBLE
-         OR (abs(corr(total_net_revenue, total_units)) >= 0.8::DOUBLE AND abs(corr(total_orders, total_net_revenue)) < 0.8::DOUBLE)""",
-)
+_ST11 = ["total_orders", "total_net_revenue", "avg_order_value", "total_units", "tenure_days", "recency_days", "total_sessions", "avg_session_minutes", "avg_pages_viewed", "return_rate_per_unit"]
+
+
+def _drop_sql(columns, limit):
+    """Walk the list in SQL: a column goes when an earlier kept one correlates."""
+    pairs = ", ".join(
+        f"coalesce(abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) >= {limit}::DOUBLE, false) AS h_{i}_{j}"
+        for j, b in enumerate(columns) for i, a in enumerate(columns[:j])
+    )
+    gone = ["false AS d_0"] + [f"({' OR '.join(f'(h_{i}_{j} AND NOT d_{i})' for i in range(j))}) AS d_{j}" for j in range(1, len(columns))]
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS dropped, {j} AS place FROM g WHERE d_{j}" for j, c in enumerate(columns))
+    return f"WITH h AS (SELECT {pairs} FROM m_customer), g AS (SELECT {', '.join(gone)} FROM h) {rows}"
+
+
+@query("st_11_drop_correlated", "dropped place:i", _drop_sql(_ST11, 0.9))
 def _(x):
-    cols = ["total_orders", "total_net_revenue", "total_units"]
-    gone = ST.drop_correlated(ST.pearson_pairs(x.mart("customer_features"), cols), cols, 0.8)
-    return x.spark.createDataFrame([(c,) for c in gone], "dropped string")
+    gone = ST.drop_correlated(ST.pearson_pairs(x.mart("customer_features"), _ST11), _ST11)
+    return x.spark.createDataFrame([(c, _ST11.index(c)) for c in gone], "dropped string, place long")
 
 
 _BAL_NUM = ["pre_90d_orders", "pre_90d_revenue", "offer_strength"]

@@ -75,6 +75,22 @@ def stratified(df: DataFrame, label: str, ids: list[str], test_share: float = 0.
     ).drop("_hash", "rows_before", "rows_total")
 
 
+def time_else_stratified(
+    df: DataFrame, label: str, time: str, ids: list[str], test_share: float = 0.2, known: float = 0.8, name: str = "is_test"
+) -> DataFrame:
+    """By time where more than ``known`` of the rows have one and both sides then have two classes, else stratified.
+
+    Rows without a time come last. ``split_strategy`` says which way was taken. ``df`` should be stored.
+    """
+    have = df.agg(F.count("*").alias("n"), F.count(time).alias("timed")).first()
+    if have["timed"] > int(known * have["n"]):
+        by_time = time_ordered(df, time, ids, test_share, name)
+        classes = by_time.groupBy(name).agg(F.count_distinct(label).alias("classes")).collect()
+        if len(classes) == 2 and all(r["classes"] == 2 for r in classes):
+            return by_time.withColumn("split_strategy", F.lit("time_ordered"))
+    return stratified(df, label, ids, test_share, name).withColumn("split_strategy", F.lit("stratified"))
+
+
 def hash_folds(df: DataFrame, label: str, ids: list[str], folds: int = 5, name: str = "fold") -> DataFrame:
     """Stratified folds 0..k-1 by the hash order of the ids inside each class."""
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids]))
