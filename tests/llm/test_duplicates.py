@@ -211,7 +211,7 @@ def test_long_lines_have_the_same_simhash(spark):
     from pyspark.sql import functions as F
 
     hashes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(i))
-    rows = spark.createDataFrame([(3,), (32_767,), (33_000,)], "n int").select(fuzzy_lines.simhash(hashes).alias("s"), hashes.alias("h")).collect()
+    rows = spark.createDataFrame([(3,), (7,), (8,), (127,), (128,), (32_767,), (33_000,)], "n int").select(fuzzy_lines.simhash(hashes).alias("s"), hashes.alias("h")).collect()
     for r in rows:
         bits = (np.array(r.h).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
         assert r.s & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(r.h))
