@@ -9,6 +9,14 @@ def prose(rng, n, letters="abcdefghijklmnop"):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+SYLLABLES = "the on an in er re ed ing tion ly st or at es en of and ha".split()
+
+
+def speech(rng, n):
+    """Words of common syllables, which tokenizers fit as they fit a language."""
+    return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls, empty, blank and very long texts, repeated rows, and columns with clashing names."""

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tests.llm.conftest import prose
+from tests.llm.conftest import speech
 
 QUERIES_WITH_SQL = ["op1_bag_minhash", "op2_shard_tree", "op5_host_reputation", "op6_spaced_seeds", "op12_weighted_mix", "op13_k2_treap"]
 
@@ -11,10 +11,10 @@ def test_stages(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(11)
-    bench = prose(rng, 30)
-    good = [prose(rng, 120) for _ in range(6)]
-    passage = prose(rng, 60)
-    texts = [*good, "too short", good[0] + " tail", passage + "\n" + prose(rng, 70), prose(rng, 70) + "\n" + passage, prose(rng, 60) + " " + bench, None]
+    bench = speech(rng, 30)
+    good = [speech(rng, 120) for _ in range(6)]
+    passage = speech(rng, 60)
+    texts = [*good, "too short", good[0] + " tail", passage + "\n" + speech(rng, 70), speech(rng, 70) + "\n" + passage, speech(rng, 60) + " " + bench, None]
     words = good[1].split()
     texts.append("\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4)))  # lines too short to be compared
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -1,14 +1,18 @@
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import public_tokenizers as P
+import pytest
+import sentencepiece
+import tokenizers
 
 from shelfsense.llm import fertility, host_reputation, pattern_pii, shard_tree
 from shelfsense.llm.queries import fertility_vocabularies
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, speech
 
 
 def test_shards_follow_the_key(spark, odd_docs, odd_rows, no_docs):
@@ -167,7 +171,7 @@ def test_contexts_are_the_two_words_before(spark):
 
 def test_fertility_rules(spark, odd_docs, odd_rows, no_docs):
     rng = random.Random(6)
-    good = prose(rng, 90)
+    good = speech(rng, 90)
     texts = [good, " ".join(["spam ham eggs"] * 40), "x " * 60, "a b c", "\u4e00\u4e8c\u4e09 " * 5 + good, "line one\n \nline one\nline one\n" + good + " #*$%&|<> #"]
     docs = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, tokens long")
     found = {r.doc_id: r for r in fertility.judge(docs, fertility_vocabularies()).collect()}
@@ -183,8 +187,23 @@ def test_fertility_rules(spark, odd_docs, odd_rows, no_docs):
         )
         assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
     assert [found[i].kept for i in range(6)] == [True, False, False, False, True, True]
+    # Another way to the measures: whole texts, one at a time.
+    for name, path in fertility_vocabularies().items():
+        for i, text in enumerate(texts):
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+            if path.endswith(".model"):
+                model = sentencepiece.SentencePieceProcessor(model_file=path)
+                ids = [t for w in words for t in model.encode(w)]
+                single = sum(model.is_byte(t) or model.is_unknown(t) for t in ids)
+            else:
+                model = tokenizers.Tokenizer.from_file(path)
+                ids = model.encode(text, add_special_tokens=False).ids
+                single = sum(len(model.id_to_token(t)) == 1 and ord(model.id_to_token(t)) > 126 and model.id_to_token(t) not in "ĠĊ" for t in ids)
+            entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+            got = [found[i][f"{name}_{m}"] for m in ("chars_per_token", "byte_share", "entropy")]
+            assert got == pytest.approx([sum(map(len, words)) / len(ids), single / len(ids), entropy], abs=1e-9)
     # A language's own band comes before its script's.
-    strict = {**fertility.BANDS, "en": fertility.Band(least_chars_per_token=100.0)}
+    strict = {**{k: v for k, v in fertility.BANDS.items() if ":" not in k}, "en": fertility.Band(least_chars_per_token=100.0)}
     assert not any(r.kept for r in fertility.judge(docs, fertility_vocabularies(), strict).collect())
     piece = fertility.Pieces(P.path("piece_bpe_32k.model"))
     tokens, singles, _ = piece.measure(["the"], [["the"]])
@@ -193,3 +212,15 @@ def test_fertility_rules(spark, odd_docs, odd_rows, no_docs):
     odd = fertility.judge(odd_docs, fertility_vocabularies()).collect()
     assert len(odd) == len(odd_rows) and not any(r.kept for r in odd if r.doc_id in (2, 3, 4, 7, 9))
     assert fertility.judge(no_docs, fertility_vocabularies()).count() == 0
+
+
+def test_gibberish_goes_and_prose_stays(spark):
+    rng = random.Random(16)
+    words = lambda letters, n=150: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    ideographs, arabic = [chr(c) for c in range(0x4E00, 0x9F00)], [chr(c) for c in range(0x627, 0x64A)]
+    bad = [(words("abcdefghijklmnopqrstuvwxyz"), "en"), (words("bcdfghjklmnpqrstvwxz"), None), (words("bcdfghjklmnpqrstvwxz"), "fr"), (words(ideographs), "zh"), (words(arabic), "ar")]
+    chinese = "我们 今天 一起 去 学校 学习 中文 因为 老师 说 这 是 一个 很 好 的 机会 大家 都 可以 参加 这个 活动 的 时候 也 要 注意 安全 问题 不要 忘记 带 上 自己 的 书 和 水 以及 其他 需要 的 东西 谢谢 你们 的 支持 与 理解 希望 明天 天气 会 更 好 一些"
+    good = [(speech(rng, 150), "en"), (speech(rng, 3000), "en"), (speech(rng, 150), None), (chinese, "zh")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(bad + good)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in fertility.judge(docs, fertility_vocabularies()).collect() if r.kept}
+    assert kept == set(range(len(bad), len(bad) + len(good)))
