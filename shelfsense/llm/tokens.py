@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept by a worker before it starts its cache anew; bounds memory, never changes ids.
+#: Chunks kept by a worker before the half of them not seen for longest goes; bounds memory, never changes ids.
 CACHE_CHUNKS = 300_000
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 4_000_000
@@ -71,6 +71,22 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")  # ids of all known chunks, one after the other
         self.ends = np.zeros(1 << 14, dtype=np.int64)  # where each chunk's ids end
+        self.used = np.zeros(1 << 14, dtype=np.int64)  # when each chunk was last seen
+        self.now = 0
+
+    def _thin_out(self) -> None:
+        """Keep the half of the known chunks seen last."""
+        n = len(self.place)
+        kept = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.limit // 2])
+        if not len(kept):
+            return self._forget()
+        first = np.where(kept > 0, self.ends[kept - 1], 0)
+        sizes = self.ends[kept] - first
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])]
+        known = list(self.place)
+        self.place = {known[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids, self.ends, self.used = ids, ends, self.used[kept]
 
     def encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (unsigned 32-bit, None counts as empty) and, per text, where
@@ -127,7 +143,8 @@ class Encoder:
     def _places(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of every chunk's ids, and where each text's chunks start."""
         if len(self.place) > self.limit:
-            self._forget()
+            self._thin_out()
+        self.now += 1
         mark, nothing = pa.scalar(_WHOLE, column.type), pa.scalar("", column.type)
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(column, "\n", " \n"), nothing)
         parts = pc.split_pattern(marked, " ")
@@ -136,6 +153,7 @@ class Encoder:
         place = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(place < 0)
         place[new] = self._learn([words[i] for i in new.tolist()])
+        self.used[place] = self.now
         first = np.where(place > 0, self.ends[place - 1], 0)
         sizes = self.ends[place] - first
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -169,7 +187,7 @@ class Encoder:
         n = len(self.place)
         start = int(self.ends[n - 1]) if n else 0
         self.ids = _room(self.ids, start + len(ids))
-        self.ends = _room(self.ends, n + len(keys))
+        self.ends, self.used = _room(self.ends, n + len(keys)), _room(self.used, n + len(keys))
         self.ids[start : start + len(ids)] = ids
         self.ends[n : n + len(keys)] = start + ends
         self.place.update(zip(keys, range(n, n + len(keys))))
