@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.llm.common import Scratch
+from shelfsense.llm.tokens import in_slices
 
 TOP = 20
 #: A block of documents ends at so many documents or bytes of text.
-BLOCK_DOCS, BLOCK_BYTES = 8192, 16_000_000
+BLOCK_DOCS, BLOCK_BYTES = 8192, 8_000_000
 #: Distinct terms of queries (a term counts once for each item) that are sent to the tasks at a time.
 ITEM_TERMS = 500_000
 #: Ranges halved at a time, and node numbers that open ranges may hold before the deepest go first.
@@ -67,14 +68,15 @@ def count_terms(texts: pa.Array) -> np.ndarray:
     first[1:] &= ~inside[:-1]
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[starts] = inside[starts]
-    reached = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
+    reached = np.zeros(len(first) + 1, dtype=np.int64)
+    np.cumsum(first, out=reached[1:])
     return np.diff(reached[offsets])
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Every term of the texts in order: number of its text, place in the distinct terms, and these."""
     parts = pc.ascii_split_whitespace(_folded(texts))
-    coded = pc.dictionary_encode(parts.flatten())
+    coded = pc.dictionary_encode(parts.flatten())  # words beside blanks at an end are empty
     doc = np.repeat(np.arange(len(parts)), np.diff(np.asarray(parts.offsets)))
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
@@ -242,7 +244,7 @@ def build_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = terms = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             n = count_terms(batch.column(0))
             docs, terms = docs + np.count_nonzero(n), terms + n.sum()
         yield pa.RecordBatch.from_pydict({"docs": pa.array([docs], pa.int64()), "terms": pa.array([terms], pa.int64())})
@@ -254,6 +256,9 @@ def build_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches):
             row = _index_block(ids, texts, n_docs, n_terms)
+            # The worker lives on, and what its pool keeps would count twice with the next block.
+            del ids, texts
+            pa.default_memory_pool().release_unused()
             if row:
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
