@@ -36,8 +36,8 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 #: Bits of the sketches that may differ: mean and 4.5 standard deviations at similarity 0.8.
 SKETCH_BITS = 28
-#: Documents whose shingles are fetched by a broadcast of their ids (8 bytes each) up to this number.
-BROADCAST_NODES = 2_000_000
+#: Documents whose shingles are fetched by a broadcast of their keys (40 bytes each) up to this number.
+BROADCAST_NODES = 1_000_000
 #: 64-bit words of a document's bitmap of shingles.
 BITMAP = 8
 SLICE_WORDS = 500_000
@@ -190,12 +190,20 @@ def _short(band: Column) -> Column:
     return band.bitwiseAND((1 << 31) - 1).cast("int")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of representatives whose exact similarity is at least 4/5."""
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes whose exact similarity is at least 4/5.
+
+    A node's text is fetched by the row that stands for it (doc_id and text hash), and counts only if its
+    word digests are the node's.
+    """
     pairs = scratch.keep(pairs, "pairs")
-    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.keep(nodes.join(ends, "node", "left_semi").select("node", "d1", "d2", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("rep_mark")), "wanted")
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(held, "node", "left_semi").select("node", word_hashes(F.col("text")).alias("h"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text")
+    rows = own.join(held, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
+    rows = rows.select("node", "d1", "d2", word_hashes(F.col("text")).alias("h"))
+    rows = rows.filter((F.xxhash64("h") == F.col("d1")) & (F.xxhash64(F.lit(1), "h") == F.col("d2"))).select("node", "h")
     bags = scratch.keep(rows.mapInArrow(_tag, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
     left = bags.select(F.col("node").alias("a"), F.col("bag").alias("x"))
     right = bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
@@ -203,32 +211,35 @@ def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     common = F.size(F.array_intersect("x", "y"))
     sized = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("t"))
     links = scratch.keep(sized.filter(F.col("i") * 5 >= (F.col("t") - F.col("i")) * 4).select("a", "b"), "links")
-    scratch.drop(bags, wanted)
+    scratch.drop(bags, wanted, pairs)
     return links
 
 
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, mark (hash of its text) and class_id, the least doc_id of the class.
 
-    Words lie between ASCII white space, in lower case. Documents with the same words, also those with
-    none (null, empty and blank texts), are one class at least. Rows that share a doc_id share a class;
-    rows without doc_id are classed by their text, and a class of such rows alone has a hash as its
-    class_id. Other columns, whatever their names, are not read. An empty table gives no rows.
+    Words lie between ASCII white space, in lower case. Classes are of texts: documents with the same
+    words, also those with none (null, empty and blank texts), are one class at least, whatever their
+    doc_ids. Rows without doc_id and different texts that share a doc_id are compared like all others. A
+    class of rows without doc_id has a hash as its class_id, and of classes with the same least doc_id
+    all but one do. Very long texts are read whole, in one row of a task. Other columns, whatever their
+    names, are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
     h = word_hashes(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), h.alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), h.alias("h"))
     rows = rows.select("doc_id", "mark", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), "h").alias("d2"), "h")
     signed = scratch.keep(
         rows.mapInArrow(_sign, "doc_id long, mark long, d1 long, d2 long, n long, s1 long, s2 long, bands array<long>, bits array<long>"), "signed"
     )
-    # Equal word sequences: the least doc_id stands for them.
-    nodes = scratch.keep(
-        signed.groupBy("d1", "d2").agg(
-            F.coalesce(F.min("doc_id"), F.first("d1")).alias("node"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
-        ),
-        "nodes",
-    )
+    # Equal word sequences are one node, numbered as it is written; its least row stands for it.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
+    merged = signed.groupBy("d1", "d2").agg(least, *[F.first(c).alias(c) for c in ("n", "s1", "s2", "bands", "bits")])
+    nodes = scratch.keep(merged.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select(F.explode("bands").alias("key"), "node", "n", "s1", "s2")
     pivots = (
         banded.groupBy("key")
@@ -238,7 +249,8 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     shared = scratch.keep(banded.join(pivots, "key"), "shared")
     first = shared.filter((F.col("node") > F.col("pivot")) & _may_link("", "p")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(first, docs, scratch)
+    first = scratch.keep(first, "first")
+    links = _linked(first, nodes, docs, scratch)
     roots = scratch.keep(components(links, scratch).withColumnRenamed("node", "linked"), "roots")
 
     # What is still apart in a band: the members outside the pivot's component against all others.
@@ -259,20 +271,27 @@ def classes(docs: DataFrame) -> DataFrame:
         & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == _short(F.col("x.key"))),
     )
     rest = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    more = _linked(rest.join(first, ["a", "b"], "left_anti"), docs, scratch)
-    scratch.drop(shared, members, mixed)
+    more = _linked(rest.join(first, ["a", "b"], "left_anti"), nodes, docs, scratch)
+    scratch.drop(shared, members, mixed, first)
     roots = scratch.keep(components(links.unionByName(more), scratch).withColumnRenamed("node", "linked"), "roots")
-    found = nodes.select("d1", "d2", "node").join(roots, F.col("node") == F.col("linked"), "left").select("d1", "d2", F.coalesce("root", "node").alias("class_id"))
+    # A class is named by its least doc_id, or by a digest where another class has that name or there is none.
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), F.col("least.doc_id").alias("doc_id"))
+    rooted = scratch.keep(rooted, "rooted")
+    named = scratch.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.min("d1").alias("digest")), "named")
+    owner = named.filter("least is not null").groupBy("least").agg(F.min("digest").alias("owner"))
+    named = named.join(owner, "least", "left").select("root", F.when(F.col("digest") == F.col("owner"), F.col("least")).otherwise(F.col("digest")).alias("class_id"))
+    found = rooted.join(named, "root").select("d1", "d2", "class_id")
     return signed.select("doc_id", "mark", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", "mark", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, the one with the least doc_id (rows without one come last)."""
+    """``docs`` with one row of each class, the one with the least doc_id (rows without one come last).
+    Odd rows are classed as ``classes`` says; the columns are those of ``docs``."""
     found = classes(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     own, ident, mark = free(docs, "own"), free(docs, "ident"), free(docs, "mark")
     kept = found.groupBy("class_id").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias(ident), F.col("kept.mark").alias(mark))
-    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn(own, text_mark(F.col("text")))
     left = rows.join(kept, rows["doc_id"].eqNullSafe(kept[ident]) & (rows[own] == kept[mark]), "left_semi")
     return left.dropDuplicates(["doc_id", own]).drop(own)
 

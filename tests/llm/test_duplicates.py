@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfsense.llm import bag_minhash, fuzzy_lines, spaced_seeds
 from shelfsense.llm.common import Scratch, components
@@ -87,6 +88,25 @@ def test_near_duplicates_are_exact(spark):
     assert sorted(kept) == sorted(set(found.values()))
 
 
+def test_near_duplicates_without_or_with_shared_ids(spark):
+    rng = random.Random(21)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one = prose(rng, 200).split()
+    near = [" ".join(edited(rng, one, 1)) for _ in range(3)]
+    rows = bag_minhash.classes(frame([(None, near[0]), (None, near[1]), (1, near[2])])).collect()
+    assert len(rows) == 3 and {r.class_id for r in rows} == {1}
+    # Two different texts under doc_id 5, a near copy of each, and rows without doc_id alone.
+    other, third = prose(rng, 200).split(), prose(rng, 200).split()
+    docs = [(5, " ".join(one)), (5, " ".join(other)), (7, " ".join(edited(rng, other, 1))), (8, near[0]), (None, " ".join(third)), (None, " ".join(edited(rng, third, 1)))]
+    found = {(r.doc_id, r.mark): r.class_id for r in bag_minhash.classes(frame(docs)).collect()}
+    own = {text: found[i, m] for i, text, m in frame(docs).select("doc_id", "text", bag_minhash.text_mark(F.col("text"))).collect()}
+    ids = [own[t] for _, t in docs]
+    assert ids[0] == ids[3] and ids[1] == ids[2] and ids[4] == ids[5]
+    assert len(set(ids)) == 3 and 5 in (ids[0], ids[1])
+    kept = bag_minhash.keep_one(frame(docs + docs)).collect()
+    assert sorted((r.doc_id or 0 for r in kept)) == [0, 5, 5]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     found = bag_minhash.classes(odd_docs).collect()
     assert len(found) == len(odd_rows)
@@ -114,8 +134,6 @@ def normal(line):
 
 
 def test_lines_match_brute_force(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(8)
     base = [prose(rng, rng.randint(4, 60)) for _ in range(12)]
     docs = []
@@ -208,8 +226,6 @@ def test_lines_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
 
 
 def test_long_lines_have_the_same_simhash(spark):
-    from pyspark.sql import functions as F
-
     hashes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(i))
     rows = spark.createDataFrame([(3,), (7,), (8,), (127,), (128,), (32_767,), (33_000,)], "n int").select(fuzzy_lines.simhash(hashes).alias("s"), hashes.alias("h")).collect()
     for r in rows:
