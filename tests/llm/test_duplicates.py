@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -262,6 +263,54 @@ def test_passages_are_found_with_substitutions(spark, odd_docs, no_docs):
     assert spaced_seeds.overlaps(no_docs, bench).count() == 0 and spaced_seeds.overlaps(frame, bench.limit(0)).count() == 0
 
 
+def verified(doc, item):
+    """Whether any alignment is accepted, without seeds."""
+    width = min(spaced_seeds.WINDOW, len(item))
+    for start in range(1 - len(item), len(doc)):
+        eq = [0 <= start + i < len(doc) and doc[start + i] == w for i, w in enumerate(item)]
+        if any(5 * sum(eq[i : i + width]) >= 4 * width for i in range(len(item) - width + 1)):
+            return True
+    return False
+
+
+def test_masks_lose_no_allowed_substitution():
+    for width, masks in spaced_seeds.MASKS.items():
+        for gone in combinations(range(width), width - -(-4 * width // 5)):
+            assert any(
+                all(at + o not in gone for o, c in enumerate(m) if c == "1") for m in masks for at in range(width - len(m) + 1)
+            ), (width, gone)
+
+
+def test_substitutions_in_short_items_match_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    items, docs = {}, {}
+    for n in [*range(1, 21)]:
+        items[n] = [f"i{n}w{k}" for k in range(n)]
+        for gone in range(4):
+            for _ in range(8):
+                own = list(items[n])
+                for k in rng.sample(range(n), min(gone, n)):
+                    own[k] = f"x{rng.randrange(10**6)}"
+                cut = own[rng.choice((0, 0, 1, 2)) :]
+                docs[len(docs)] = rng.choice(([], prose(rng, 5).split())) + cut + rng.choice(([], prose(rng, 6).split()))
+    want = {(i, n) for i, d in docs.items() for n, item in items.items() if f"i{n}w" in " ".join(d) and verified(d, item)}
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    rows = spaced_seeds.overlaps(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) > 300
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", 0)
+    assert sorted(spaced_seeds.overlaps(frame, bench).collect()) == sorted(rows)
+
+
+def test_unspaced_scripts_are_compared_by_character(spark):
+    rng = random.Random(15)
+    one = [chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30)]
+    other = ["\u4e00" if k in (4, 11, 20) else c for k, c in enumerate(one)]
+    frame = spark.createDataFrame([(1, "東京 " + "".join(other) + "です。"), (2, "".join(one[:8]) + "".join(reversed(one)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "".join(one))], "item_id long, text string")
+    assert [tuple(r) for r in spaced_seeds.overlaps(frame, bench).collect()] == [(1, 7, 27, 30, 2)]
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     rng = random.Random(10)
     item = prose(rng, 30)
