@@ -1,21 +1,24 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
 Emails, IP addresses, card and phone numbers of fixed form are found in every text. These seed
-entities are instances whose contexts, the two words before them, become lexical patterns of their
-kind. Other identifier-like tokens (with a digit or @) after the same contexts are candidate
-instances. Patterns and instances form a graph that is scored in rounds:
-
-* a pattern's confidence is the sum of its instances' scores over the number of times its
-  context occurs in the corpus before any word at all, plus one, so that common words never become
-  patterns however often an entity follows them;
-* an instance's score is 1 for a seed and else 1 - prod(1 - confidence) over the patterns it follows.
-
-After the rounds the candidates with a score of at least ``CONFIDENCE``, by patterns with at least
-``SUPPORT`` different instances, are added as spans of kind ``identifier``.
-
-Matching runs on the texts once; contexts are counted in one more pass and the counts joined to the candidate
-contexts, which are broadcast below a checked size and shuffled beyond it. The graph holds a row per
-identifier-like token, and hot contexts or values are summed before each shuffle.
+entities are instances whose contexts, the two words before them, become lexical patterns. Other
+identifier-like tokens (with a digit or @) after the same contexts are candidate instances. Patterns
+and instances form a graph that is scored in rounds:
+
+* a context's confidence is the sum of its trusted instances' scores over the number of times it
+  occurs in the corpus before any word at all, plus one, so that common words never become patterns
+  however often an entity follows them; it is a pattern in the rounds where its confidence is at
+  least ``CONFIDENCE`` and it precedes at least ``SUPPORT`` different trusted instances;
+* an instance's score is 1 for a seed and else 1 - prod(1 - confidence) over the patterns it follows;
+  it is trusted once it follows one.
+
+Trusted instances induce patterns of their own in the next round, which discover further ones. Scores
+only rise; rounds end when none has moved by a hundredth. What is trusted then is added as spans of kind
+``identifier``.
+
+Matching runs on the texts once; candidate contexts, those that enough identifier-like tokens follow, are
+counted in one more pass, in which they are broadcast below a checked size and shuffled beyond it. The graph
+holds a row per identifier-like token, and hot contexts or values are summed before each shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 
 from shelfsense.llm.common import Scratch, let, words
 
-ROUNDS = 3
 CONFIDENCE = 0.5
 SUPPORT = 3
 CONTEXT_WORDS = 2
@@ -160,15 +162,16 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def _with_occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """Number of places in the corpus where each context occurs before a word."""
-    held = F.broadcast(contexts) if contexts.count() <= BROADCAST_CONTEXTS else contexts
     word = words(F.col("text"))
     plain = F.transform(word, lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0"))
     places = F.size("w") - CONTEXT_WORDS
     runs = F.arrays_zip(*[F.slice("w", i + 1, places).alias(f"w{i}") for i in range(CONTEXT_WORDS)])
     placed = docs.select(plain.alias("w")).filter(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("p"))
+    placed = placed.select(F.xxhash64(*[f"p.w{i}" for i in range(CONTEXT_WORDS)]).alias("context"))
+    if contexts.count() <= BROADCAST_CONTEXTS:
+        return placed.join(F.broadcast(contexts), "context").groupBy("context").agg(F.count("*").alias("occurs"))
     # Counted before the join, which then sees each context once.
-    counted = placed.select(F.xxhash64(*[f"p.w{i}" for i in range(CONTEXT_WORDS)]).alias("context")).groupBy("context").agg(F.count("*").alias("occurs"))
-    return counted.join(held, "context")
+    return placed.groupBy("context").agg(F.count("*").alias("occurs")).join(contexts, "context")
 
 
 def identifiers(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
@@ -177,31 +180,38 @@ def identifiers(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFra
         marked.select("doc_id", "mark", F.explode("tokens").alias("t")).select("doc_id", "mark", "t.*").filter("context is not null and end > start"),
         "tokens",
     )
-    # Patterns: contexts of enough different seeds of one kind.
-    seeds = seen.filter("kind is not null").select("context", "kind", "value").distinct()
-    patterns = seeds.groupBy("context", "kind").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    contexts = patterns.select("context").distinct()
-    counted = scratch.keep(_with_occurrences(docs, scratch.keep(contexts, "contexts")), "occurrences")
-    patterns = scratch.keep(patterns.join(counted, "context").select("context", "kind", "occurs"), "patterns")
-    # The graph: how often each value follows each context; its seeds are certain.
-    graph = scratch.keep(
-        seen.join(patterns.select("context").distinct(), "context", "left_semi")
-        .groupBy("context", "value")
-        .agg(F.count("*").alias("n"), F.max(F.col("kind").isNotNull().cast("int")).alias("seed")),
-        "graph",
-    )
-    scored = graph.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    for _ in range(ROUNDS):
-        confidence = (
-            graph.join(scored, "value").groupBy("context").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
-            .join(counted, "context")
-            .select("context", F.least(F.col("mass") / (F.col("occurs") + 1), F.lit(0.999)).alias("confidence"))
+    # How often each value follows each context; seeds are certain wherever they occur.
+    follows = seen.groupBy("context", "value").agg(F.count("*").alias("n"), F.max(F.col("kind").isNotNull().cast("int")).alias("seed"))
+    follows = scratch.keep(follows, "follows")
+    followed = follows.groupBy("context").agg(F.count("*").alias("support"), F.sum("n").alias("most")).filter(F.col("support") >= SUPPORT)
+    followed = scratch.keep(followed.select("context", "most"), "followed")
+    # Even with every follower trusted, the others stay below the confidence.
+    counted = _with_occurrences(docs, followed.select("context")).join(followed, "context")
+    counted = scratch.keep(counted.filter(F.col("most") >= CONFIDENCE * (F.col("occurs") + 1)).select("context", "occurs"), "occurrences")
+    graph = scratch.keep(follows.join(counted, "context"), "graph")
+    seeds = follows.groupBy("value").agg(F.max("seed").alias("seed")).filter("seed = 1").select("value")
+    seeds = scratch.keep(seeds.join(graph.select("value").distinct(), "value", "left_semi"), "seeds")
+    scored = scratch.keep(seeds.select("value", F.lit(1.0).alias("score")), "scores")
+    before = None
+    while True:
+        mark = scored.agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 100).cast("long")).alias("total")).first()
+        if mark == before:
+            break
+        before = mark
+        patterns = (
+            graph.join(scored, "value")
+            .groupBy("context", "occurs")
+            .agg(F.count("*").alias("support"), F.sum(F.col("n") * F.col("score")).alias("mass"))
+            .select("context", "support", F.least(F.col("mass") / (F.col("occurs") + 1), F.lit(0.999)).alias("confidence"))
+            .filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         )
-        doubt = F.sum(F.log(1 - F.col("confidence")))
-        own = graph.join(confidence, "context").groupBy("value").agg(doubt.alias("doubt"), F.max("seed").alias("seed"))
-        scored = scratch.keep(own.select("value", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "scores")
-    trusted = scored.filter(F.col("score") >= CONFIDENCE)
-    pairs = graph.join(trusted, "value").select("context", "value", "score")
+        patterns = scratch.keep(patterns, "patterns")
+        found = graph.join(patterns, "context").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        both = found.unionByName(seeds.select("value", F.lit(1.0).alias("score")))
+        after = scratch.keep(both.groupBy("value").agg(F.max("score").alias("score")), "scores")
+        scratch.drop(scored)
+        scored = after
+    pairs = graph.join(patterns, "context", "left_semi").join(scored, "value").select("context", "value", "score")
     return seen.filter("kind is null").join(pairs, ["context", "value"]).select("doc_id", "mark", "start", "end", "context", "score")
 
 
@@ -210,7 +220,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     ``spans`` lists ``kind:start:end`` by kind (email, ip, card, phone, identifier) and start;
     positions count code points and ends are exclusive. Null and empty texts have no spans, and the
-    digest of the empty string. Repeated rows and null doc_ids each keep their row. Other columns,
+    digest of the empty string. Very long texts are read whole, in one row of a task. Repeated rows and null doc_ids each keep their row. Other columns,
     whatever their names, are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")

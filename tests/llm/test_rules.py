@@ -3,7 +3,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers as P
 import pytest
@@ -160,6 +160,61 @@ def test_contexts_find_unseen_identifiers(spark):
             assert "identifier" not in found[i]
 
 
+def test_trusted_identifiers_induce_patterns(spark):
+    """The last identifier follows no context of a seed: it is two hops away."""
+    texts = [f"please contact clerk user{i}@mail.example" for i in range(6)] + [f"then contact clerk AB-{i}" for i in range(3)]
+    texts += [f"his badge code AB-{i} was seen" for i in range(3) for _ in range(2)] + ["the badge code CD-9 was lost", "a page number 7 of 9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pattern_pii.find_personal_data(docs).collect()}
+    for i, text in enumerate(texts):
+        start = max(text.find("AB-"), text.find("CD-"))
+        assert found[i] == f"identifier:{start}:{start + 4}" if start >= 0 else "identifier" not in found[i]
+
+
+def grown(texts):
+    """Identifier spans by the docstring's rules, without Spark: (row, start, end)."""
+    tokens, occurs = [], Counter()
+    for i, text in enumerate(texts):
+        spots = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^ ]+", text)]
+        for k in range(2, len(spots)):
+            context = tuple(re.sub("[0-9]", "0", w.lower()) for _, _, w in spots[k - 2 : k])
+            occurs[context] += 1
+            a, b, w = spots[k]
+            if re.search("[0-9@]", w):
+                tokens.append((i, a, b, context, w, "@" in w))
+    counts = Counter((c, w) for *_, c, w, _ in tokens)
+    score = {w: 1.0 for *_, w, seed in tokens if seed}
+    seeds, before = set(score), None
+    while before != (now := (len(score), sum(round(x * 100) for x in score.values()))):
+        before, patterns = now, {}
+        for c in {c for c, _ in counts}:
+            known = [w for cc, w in counts if cc == c and w in score]
+            sure = min(sum(counts[c, w] * score[w] for w in known) / (occurs[c] + 1), 0.999)
+            if len(known) >= 3 and sure >= 0.5:
+                patterns[c] = sure
+        doubt = defaultdict(lambda: 1.0)
+        for c, w in counts:
+            if c in patterns:
+                doubt[w] *= 1 - patterns[c]
+        score = {w: 1 - x for w, x in doubt.items()} | {w: 1.0 for w in seeds}
+    return {(i, a, b) for i, a, b, c, w, seed in tokens if c in patterns and not seed}
+
+
+def test_growth_matches_brute_force(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(260):
+        k = rng.randrange(8)
+        word = rng.choice(("plain", "word", "here")) if rng.random() < (0.06 if k < 6 else 0.6) else f"u{rng.randrange(5)}@m.example" if k < 2 and rng.random() < 0.75 else f"id-{k + rng.randrange(7)}"
+        texts.append(f"{rng.choice(('so', 'and', 'if'))} near k{'abcdefgh'[k]} {word} {rng.choice(('now', 'then'))}")
+    want = grown(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = set()
+    for r in pattern_pii.find_personal_data(docs).collect():
+        found |= {(r.doc_id, *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("identifier")}
+    assert found == want and len({texts[i].split()[2] for i, _, _ in want}) > 2
+
+
 def test_contexts_are_the_two_words_before(spark):
     """Different third words share a context, and two words before an identifier are enough."""
     texts = [f"{w} me at user{i}@mail.example today" for i, w in enumerate(("email", "write", "ask", "call", "reach", "ping"))]
