@@ -41,11 +41,7 @@ def _(x):
        FROM r_customers LEFT JOIN (SELECT customer_id, sum(net_amount) AS r FROM s_completed GROUP BY 1) USING (customer_id)""",
 )
 def _(x):
-    spent = x.staging.completed_orders.groupBy("customer_id").agg(F.sum("net_amount").alias("r"))
-    df = x.staging.customers.join(spent, "customer_id", "left").select(
-        "customer_id", "region", F.coalesce("r", F.lit(0.0)).alias("spend")
-    )
-    return ordered.dense_rank(df, ["region"], "spend", "spend_rank_in_region")
+    return M.regional_ranks(x.staging).join(x.staging.customers.select("customer_id", "region"), "customer_id")
 
 
 @query(

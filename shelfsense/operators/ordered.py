@@ -112,12 +112,16 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return numbered.withColumn(name, F.col("rows_before") + 1).drop("rows_before")
 
 
-def dense_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
+def dense_rank(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True, ids: Sequence[str] = ()
+) -> DataFrame:
     """Dense rank by one non-NULL value: number the distinct values, then join them back.
 
-    The rows are settled first: a sum of doubles computed twice need not be equal to itself.
+    With ``ids`` (a unique key of the rows) the result has only these, the keys, the value and
+    the rank, for the caller to join. These rows are settled first: a sum of doubles computed
+    twice need not be equal to itself.
     """
-    df = durable(df)
+    df = durable(df.select(*ids, *[k for k in keys if k not in ids], value) if ids else df)
     levels = df.select(*keys, value).distinct()
     order = F.col(value).desc() if descending else F.col(value).asc()
     ranked = row_number(levels, keys, [order], name).select(

@@ -153,9 +153,17 @@ def customer_base(s: Staging) -> DataFrame:
     )
 
 
+def regional_ranks(s: Staging) -> DataFrame:
+    """Dense rank of spend within the region per customer; nothing but the spend is settled for it."""
+    spent = s.completed_orders.groupBy("customer_id").agg(F.sum("net_amount").alias("_r"))
+    narrow = s.customers.select("customer_id", "region").join(spent, "customer_id", "left")
+    spend = narrow.select("customer_id", "region", F.coalesce("_r", F.lit(0.0)).alias("_spend"))
+    ranks = ordered.dense_rank(spend, ["region"], "_spend", "spend_rank_in_region", ids=["customer_id"])
+    return ranks.select("customer_id", "spend_rank_in_region")
+
+
 def customer_features(s: Staging) -> DataFrame:
-    base = customer_base(s).withColumn("_spend", F.coalesce("total_net_revenue", F.lit(0.0)))
-    return ordered.dense_rank(base, ["region"], "_spend", "spend_rank_in_region").drop("_spend")
+    return customer_base(s).join(regional_ranks(s), "customer_id", "left")
 
 
 # --- weekly product demand ---------------------------------------------------------------

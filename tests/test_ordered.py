@@ -53,6 +53,13 @@ def test_dense_rank_with_ties_and_null_keys(spark):
     assert got["r"].tolist() == [1, 1, 2, 2, 1, 3]
 
 
+def test_dense_rank_settles_only_what_it_ranks(spark):
+    pdf = pd.DataFrame({"k": ["a", "a", "b"], "x": [1.0, 2.0, 5.0], "id": range(3), "wide": ["p", "q", "r"]})
+    got = ordered.dense_rank(spark.createDataFrame(pdf), ["k"], "x", "r", ids=["id"])
+    assert got.columns == ["id", "k", "x", "r"]
+    assert [r.r for r in got.orderBy("id").collect()] == [2, 1, 1]
+
+
 @pytest.mark.parametrize("n,k", [(3, 10), (25, 10), (100, 7)])
 def test_tile_and_rank_bin(spark, n, k):
     df = spark.range(n).withColumn("total", F.lit(n).cast("long"))
