@@ -1,8 +1,10 @@
 """Paired bootstrap of ranking metrics in one ordered pass per score.
 
 Each row gets a Poisson(1) weight per draw, derived from its id and the draw number, so both
-scores see the same resample. Rows are range-partitioned by score; a task walks its sorted
-rows and keeps sums per draw only. Tasks meet through one small row per (chunk, draw).
+scores see the same resample. Rows are range-partitioned by (score, row hash), so that a score
+half of the rows share spreads over many tasks; a task walks its sorted rows and keeps sums per
+draw only. Tasks meet through three small rows per (chunk, draw): its first score, its last
+score, whose ties may reach into other chunks, and all scores between these two.
 """
 
 from __future__ import annotations
@@ -35,13 +37,16 @@ def poisson_weights(row_hash: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 
 def _walk(draws: int, slab: int):
-    """Per chunk and draw: weighted positives, negatives, wins inside the chunk."""
+    """Per draw: weighted positives and negatives of a chunk's edge scores, and of those between with their wins."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = np.arange(draws + 1)
+
+        def block(at, edge, pos, neg, wins):
+            return pd.DataFrame({"at": at, "edge": edge, "draw": ids, "pos": pos, "neg": neg, "wins": wins})
+
         pos, neg, wins = (np.zeros(draws + 1) for _ in range(3))
-        tie_pos, tie_neg = np.zeros(draws + 1), np.zeros(draws + 1)
-        last = None
+        tie = between = first = None
         for pdf in batches:
             for start in range(0, len(pdf), slab):
                 part = pdf.iloc[start : start + slab]
@@ -52,41 +57,53 @@ def _walk(draws: int, slab: int):
                 p = np.add.reduceat(w * y[:, None], cuts, axis=0)
                 q = np.add.reduceat(w * ~y[:, None], cuts, axis=0)
                 for g, at in enumerate(cuts):
-                    if last is not None and s[at] != last:
-                        wins += tie_pos * (neg + tie_neg / 2.0)
-                        pos += tie_pos
-                        neg += tie_neg
-                        tie_pos, tie_neg = np.zeros(draws + 1), np.zeros(draws + 1)
-                    tie_pos = tie_pos + p[g]
-                    tie_neg = tie_neg + q[g]
-                    last = s[at]
-        if last is not None:
-            wins += tie_pos * (neg + tie_neg / 2.0)
-            pos += tie_pos
-            neg += tie_neg
-            yield pd.DataFrame(
-                {"chunk": TaskContext.get().partitionId(), "draw": ids, "pos": pos, "neg": neg, "wins": wins}
-            )
+                    if tie is not None and s[at] == tie[0]:
+                        tie = (tie[0], tie[1] + p[g], tie[2] + q[g])
+                        continue
+                    if tie is not None and first is None:
+                        first = tie
+                    elif tie is not None:
+                        between = tie[0] if between is None else between
+                        wins += tie[1] * (neg + tie[2] / 2.0)
+                        pos += tie[1]
+                        neg += tie[2]
+                    tie = (s[at], p[g], q[g])
+        for edge in (first, tie):
+            if edge is not None:
+                yield block(edge[0], True, edge[1], edge[2], np.zeros(draws + 1))
+        if between is not None:
+            yield block(between, False, pos, neg, wins)
 
     return run
 
 
-def auc_draws(df: DataFrame, score: str, label: str, ids: list[str], draws: int = 2000, seed: int = 42) -> DataFrame:
-    """ROC-AUC per draw (draw 0: the plain rows). Draws with one class only have none."""
+def auc_draws(
+    df: DataFrame, score: str, label: str, ids: list[str], draws: int = 2000, seed: int = 42, chunks: int | None = None
+) -> DataFrame:
+    """ROC-AUC per draw (draw 0: the plain rows). Draws with one class only have none.
+
+    Rows without a score (NULL or NaN) or label take no part.
+    """
     rows = df.select(
         F.col(score).cast("double").alias("s"),
         F.col(label).cast("int").alias("y"),
         F.xxhash64(F.lit(seed), *ids).alias("row_hash"),
-    )
-    n = chunk_count(df.sparkSession)
-    # Ranges of the score alone: equal scores never straddle two chunks.
-    laid = rows.repartitionByRange(n, "s").sortWithinPartitions("s")
+    ).filter("s is not null and not isnan(s) and y is not null")
+    n = chunks or chunk_count(df.sparkSession)
+    laid = rows.repartitionByRange(n, "s", "row_hash").sortWithinPartitions("s")
     slab = max(1, 4_000_000 // (draws + 1))
-    parts = laid.mapInPandas(_walk(draws, slab), "chunk int, draw int, pos double, neg double, wins double")
-    before = Window.partitionBy("draw").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("neg_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    parts = laid.mapInPandas(
+        _walk(draws, slab), "at double, edge boolean, draw int, pos double, neg double, wins double"
+    )
+    # A score between the edges of its chunk is in no other chunk; equal edge scores are one tie.
+    merged = parts.groupBy("draw", "at").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"), F.max("edge").alias("edge")
+    )
+    own = F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2.0).otherwise(F.col("wins"))
+    before = Window.partitionBy("draw").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = merged.withColumn("neg_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
     total = placed.groupBy("draw").agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("wins") + F.col("pos") * F.col("neg_before")).alias("w")
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(own + F.col("pos") * F.col("neg_before")).alias("w")
     )
     return total.filter("p > 0 and q > 0").select("draw", (F.col("w") / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -107,21 +107,6 @@ def beta_posterior(df: DataFrame, flag: str, prior_a: float = 1.0, prior_b: floa
 # --- correlations ------------------------------------------------------------------------
 
 
-def _pairs_long(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("left_col"),
-                F.lit(b).alias("right_col"),
-                F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"),
-            )
-            for a, b in pairs
-        ]
-    )
-    return df.select(F.inline(cells)).filter("x is not null and y is not null")
-
-
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlation of every column pair in one aggregation over the rows (no row is copied)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -133,35 +118,84 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def _presence_classes(points: DataFrame, width: int) -> list[int]:
+    """Per column ``c<i>`` the first column that is NULL in just the same rows (one row is collected)."""
+    differ = [
+        F.max((F.col(f"c{i}").isNull() != F.col(f"c{j}").isNull()).cast("int")).alias(f"d{i}_{j}")
+        for i in range(width)
+        for j in range(i)
+    ]
+    apart = points.agg(*differ).first().asDict() if differ else {}
+    return [next((j for j in range(i) if not apart[f"d{i}_{j}"]), i) for i in range(width)]
+
+
 def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int = 2) -> DataFrame:
     """Rank correlation per column pair over the rows where both are present.
 
-    Equal (x, y) rows are counted first; ranks are average ranks of the value counts.
+    Equal rows are counted first. A column is ranked (average ranks) once per set of rows its
+    partners are present in, so columns without NULLs have one rank however many pairs they are
+    in; the rows then meet their ranks once, and one aggregate yields all pairs.
     """
-    keys = ["left_col", "right_col"]
-    points = durable(_pairs_long(df, pairs).groupBy(*keys, "x", "y").agg(F.count("*").alias("n")))
-
-    def ranks(axis: str) -> DataFrame:
-        counts = points.groupBy(*keys, axis).agg(F.sum("n").alias("_n"))
-        placed = ordered.positions(counts, keys, [axis], sums={"c": "_n"}, totals=False)
-        return placed.select(*keys, axis, (F.col("c_before") + (F.col("_n") + 1) / 2.0).alias(f"rank_{axis}"))
-
-    both = points.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
-    n, a, b = F.col("n").cast("double"), F.col("rank_x"), F.col("rank_y")
-    g = both.groupBy(*keys).agg(
-        F.sum("n").alias("n_pairs"),
-        F.sum(n * a).alias("_sa"),
-        F.sum(n * b).alias("_sb"),
-        F.sum(n * a * a).alias("_saa"),
-        F.sum(n * b * b).alias("_sbb"),
-        F.sum(n * a * b).alias("_sab"),
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(columns)}
+    cells = [f"c{i}" for i in range(len(columns))]
+    points = durable(
+        df.select(*[F.col(c).cast("double").alias(f"c{i}") for c, i in at.items()])
+        .groupBy(*cells)
+        .agg(F.count("*").alias("n"))
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    classes = _presence_classes(points, len(columns))
+    wanted: list[list[int]] = [[] for _ in columns]
+    for a, b in pairs:
+        for own, other in ((at[a], at[b]), (at[b], at[a])):
+            if classes[other] not in wanted[own]:
+                wanted[own].append(classes[other])
+    slots = max((len(w) for w in wanted), default=0)
+    sums = [f"p{k}" for k in range(slots)]
+
+    def cell(i: int) -> Column:
+        present = [F.when(F.col(f"c{j}").isNotNull(), F.col("n")).otherwise(0) for j in wanted[i]]
+        present += [F.lit(0).cast("long")] * (slots - len(present))
+        return F.struct(F.lit(i).alias("column"), F.col(f"c{i}").alias("value"), *[v.alias(s) for v, s in zip(present, sums)])
+
+    long = points.select("id", F.inline(F.array(*[cell(i) for i in range(len(columns))]))).filter("value is not null")
+    counts = long.groupBy("column", "value").agg(*[F.sum(s).alias(s) for s in sums])
+    placed = ordered.positions(counts, ["column"], ["value"], sums={s: s for s in sums}, totals=False)
+    ranks = placed.select("column", "value", *[(F.col(f"{s}_before") + (F.col(s) + 1) / 2.0).alias(f"rank_{s}") for s in sums])
+    met = long.select("id", "column", "value").join(ranks, ["column", "value"])
+    by_row = met.groupBy("id").agg(
+        *[
+            F.max(F.when(F.col("column") == i, F.col(f"rank_{s}"))).alias(f"r{i}_{j}")
+            for i in range(len(columns))
+            for s, j in zip(sums, wanted[i])
+        ]
     )
-    m = F.col("n_pairs")
-    cov = F.col("_sab") - F.col("_sa") * F.col("_sb") / m
-    va = F.col("_saa") - F.col("_sa") * F.col("_sa") / m
-    vb = F.col("_sbb") - F.col("_sb") * F.col("_sb") / m
-    return g.filter(m >= least).select(
-        *keys, "n_pairs", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman_r")
+    # A rank is NULL where its column is; a pair counts the rows that have both.
+    measures = []
+    for q, (left, right) in enumerate(pairs):
+        a, b = F.col(f"r{at[left]}_{classes[at[right]]}"), F.col(f"r{at[right]}_{classes[at[left]]}")
+        n = F.when(a.isNotNull() & b.isNotNull(), F.col("n"))
+        sides = {"n": n, "sa": n * a, "sb": n * b, "saa": n * a * a, "sbb": n * b * b, "sab": n * a * b}
+        measures += [F.sum(v).alias(f"{k}{q}") for k, v in sides.items()]
+    one = points.select("id", "n").join(by_row, "id").agg(*measures)
+    rows = [
+        F.struct(
+            F.lit(left).alias("left_col"),
+            F.lit(right).alias("right_col"),
+            *[F.col(f"{k}{q}").alias(k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")],
+        )
+        for q, (left, right) in enumerate(pairs)
+    ]
+    m = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / m
+    va = F.col("saa") - F.col("sa") * F.col("sa") / m
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / m
+    return one.select(F.inline(F.array(*rows))).filter(m >= least).select(
+        "left_col",
+        "right_col",
+        m.alias("n_pairs"),
+        F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman_r"),
     )
 
 

@@ -78,6 +78,27 @@ def test_bootstrap_draws_equal_weighted_auc(spark):
     assert abs(w[:, 1:].mean() - 1.0) < 0.1
 
 
+@pytest.mark.parametrize("chunks", [1, 2, 9, 40])
+def test_a_score_of_half_the_rows_spreads_over_chunks(spark, chunks):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"id": np.arange(300).astype(str), "y": rng.integers(0, 2, 300)})
+    pdf["s"] = np.where(rng.random(300) < 0.5, 0.4, rng.integers(0, 8, 300) / 8.0)
+    df = spark.createDataFrame(pdf)
+    odd = spark.createDataFrame([("x", 1, None), ("y", 0, float("nan")), ("z", None, 0.9)], "id string, y long, s double")
+    got = bootstrap.auc_draws(df.unionByName(odd), "s", "y", ["id"], draws=12, chunks=chunks).toPandas().set_index("draw")["auc"]
+    hashes = df.select("id", F.xxhash64(F.lit(42), "id").alias("h")).toPandas().set_index("id")["h"]
+    w = bootstrap.poisson_weights(hashes.loc[pdf["id"]].to_numpy(), np.arange(13))
+    for d in range(13):
+        assert got[d] == pytest.approx(_auc(pdf["y"].to_numpy(), pdf["s"].to_numpy(), w[:, d]))
+    assert bootstrap.auc_draws(odd, "s", "y", ["id"], draws=3, chunks=chunks).count() == 0
+
+
+def test_the_hot_score_of_a_bootstrap_reaches_several_tasks(spark):
+    df = spark.range(4000).select(F.lit(0.5).alias("s"), F.xxhash64("id").alias("row_hash"))
+    sizes = df.repartitionByRange(6, "s", "row_hash").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == 6 and sizes.max() < 1200
+
+
 def test_paired_lift_verdict(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 400)
@@ -152,6 +173,26 @@ def test_spearman_equals_rank_correlation(spark):
     assert r.spearman_r == pytest.approx(pdf["a"].rank().corr(pdf["b"].rank()))
 
 
+def test_spearman_of_many_pairs_with_null_patterns(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.integers(0, 12, (300, 5)).astype(float), columns=list("abcde"))
+    pdf["c"] += pdf["a"]
+    pdf["f"] = 1.0
+    for name, share in (("b", 0.3), ("d", 0.6)):
+        pdf.loc[rng.random(300) < share, name] = np.nan
+    pdf.loc[pdf["d"].isna(), "e"] = np.nan  # the same rows as d
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double, f double")
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("d", "e"), ("a", "e"), ("e", "a"), ("a", "f")]
+    got = {(r.left_col, r.right_col): r for r in ST.spearman_pairs(df, pairs).collect()}
+    assert set(got) == set(pairs) and got["a", "f"].spearman_r is None
+    for x, y in pairs[:-1]:
+        both = pdf[[x, y]].dropna()
+        assert got[x, y].n_pairs == len(both)
+        assert got[x, y].spearman_r == pytest.approx(both[x].rank().corr(both[y].rank()))
+    assert ST.spearman_pairs(df, pairs, least=200).count() == sum(len(pdf[[x, y]].dropna()) >= 200 for x, y in pairs)
+    assert ST.spearman_pairs(df.limit(0), pairs).count() == 0
+
+
 def test_tail_probabilities():
     assert dist.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
     assert dist.student_t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-6)
