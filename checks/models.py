@@ -206,15 +206,17 @@ def forecast_scores(x):
         boosted = _kept(x, "forecast_boosted", lambda: forecast.fit_boosted(table, ROUNDS))
         rows = forecast.score(boosted, rows, "boosted")
         rows = forecast.score(forecast.fit_tweedie(table), rows, "tweedie")
+        rows = forecast.score(forecast.fit_tweedie_trees(table), rows, "tweedie_trees")
         rows = forecast.score(forecast.fit_forest(table, 20), rows, "forest")
         return rows.select(
-            *FT.SERIES, "week_start_date", "category", "units_sold", "boosted", "tweedie", "forest", "naive_blend", "naive_lag1", "naive_lag4"
+            *FT.SERIES, "week_start_date", "category", "units_sold", "boosted", "tweedie", "tweedie_trees", "forest", "naive_blend",
+            "naive_lag1", "naive_lag4",
         )
 
     return x.stored("forecast_scores", build)
 
 
-@query("ml_09_tweedie_and_boosted_demand", "product_id store_id_or_online week_start_date:d units_sold:i boosted:f tweedie:f")
+@query("ml_09_tweedie_and_boosted_demand", "product_id store_id_or_online week_start_date:d units_sold:i boosted:f tweedie:f tweedie_trees:f")
 def _(x):
     return forecast_scores(x)
 
@@ -226,7 +228,7 @@ def _(x):
 
 @query("ev_19_model_vs_naive", "forecast n:i mae:f rmse:f smape:f mean_bias:f mae_gain_pct:f")
 def _(x):
-    names = {c: c for c in ("boosted", "tweedie", "forest", "naive_blend", "naive_lag1", "naive_lag4")}
+    names = {c: c for c in ("boosted", "tweedie", "tweedie_trees", "forest", "naive_blend", "naive_lag1", "naive_lag4")}
     return forecast.naive_comparison(forecast_scores(x), names, "boosted")
 
 
