@@ -136,7 +136,8 @@ def _sums(trees: list[Forest], growing: Forest, level: int, width: int, most: in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
-        checks: dict = {}
+        checks = np.zeros(len(growing.value))
+        checked = np.zeros(len(growing.value), bool)
         offsets = np.arange(width) * most
         for pdf in batches:
             if not len(pdf):
@@ -146,9 +147,8 @@ def _sums(trees: list[Forest], growing: Forest, level: int, width: int, most: in
             margin = _margins(trees, model, bins, pdf["margin"].to_numpy())
             if level == 0 and valid.any():
                 lost = np.rint(w * loss.value(y, margin) * UNIT)
-                for m in np.unique(model[valid]):
-                    own = valid & (model == m)
-                    checks[m] = checks.get(m, 0) + int(lost[own].sum())
+                checks += np.bincount(model[valid], lost[valid], len(checks))
+                checked[model[valid]] = True
             node = growing.node_of(model, bins)
             use = ~valid & (node >= first)
             if not use.any():
@@ -172,9 +172,10 @@ def _sums(trees: list[Forest], growing: Forest, level: int, width: int, most: in
                 held = {}
         if held:
             yield cells(held)
-        if checks:
+        if checked.any():
+            at = np.flatnonzero(checked)
             yield pd.DataFrame({
-                "model": list(checks), "node": 0, "feature": -1, "bin": 0, "g": list(checks.values()), "h": 0, "n": 0
+                "model": at, "node": 0, "feature": -1, "bin": 0, "g": checks[at].astype(np.int64), "h": 0, "n": 0
             })
 
     return run

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.functions.columns import refuse_columns
-from shelfsense.operators.quality import union_all
+from shelfsense.operators import boosting
 from shelfsense.plans import features as FT
 from shelfsense.plans import training as T
 from shelfsense.session import durable
@@ -59,7 +59,7 @@ class XLearner:
     tau1: object
     tau0: object
     shares: DataFrame
-    outcome_models: dict[tuple[str, int], object]
+    outcome_models: list[tuple[str, int]]  # campaign and arm of each fitted outcome model
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         return self.inputs.transform(T.with_inputs(df, self.fills, self.texts))
@@ -98,7 +98,30 @@ def _with_holdout(table: DataFrame) -> DataFrame:
     ).drop("_late")
 
 
-def fit_x_learner(table: DataFrame, iterations: int = 60, parallel: int = 4) -> XLearner:
+def _arm(arm) -> Column:
+    return F.concat_ws("|", F.col(CAMPAIGN).cast("string"), arm)
+
+
+def enough_rows(rows: DataFrame) -> DataFrame:
+    """Campaign and arm (``t``) pairs with enough training and validation rows and both outcomes."""
+    counts = rows.groupBy(CAMPAIGN, "t").agg(
+        F.count_if(~F.col("is_val")).alias("n_train"),
+        F.count_if("is_val").alias("n_val"),
+        F.coalesce(F.sum(F.when(~F.col("is_val"), F.col("y"))), F.lit(0.0)).alias("positives"),
+    )
+    treated = F.col("t") == 1
+    n_train = F.when(treated, LEAST_TREATED[0]).otherwise(LEAST_CONTROL[0])
+    n_val = F.when(treated, LEAST_TREATED[1]).otherwise(LEAST_CONTROL[1])
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("n_train"))
+    return counts.filter((F.col("n_train") >= n_train) & (F.col("n_val") >= n_val) & both).select(CAMPAIGN, "t")
+
+
+def fit_x_learner(table: DataFrame, iterations: int = 60) -> XLearner:
+    """Outcome models per campaign and arm, grown together; then one effect model per arm.
+
+    The number of Spark jobs doesn't depend on the number of campaigns. A row whose campaign has
+    no model for the other arm takes that arm's mean outcome over all training rows.
+    """
     numeric, categorical = FT.UPLIFT_NUMERIC, FT.UPLIFT_CATEGORICAL
     shares = durable(propensity(table))
     train = table.filter("part = 'train'")
@@ -110,41 +133,20 @@ def fit_x_learner(table: DataFrame, iterations: int = 60, parallel: int = 4) ->
     rows = durable(rows.join(shares, CAMPAIGN, "left").withColumn("w", F.when(F.col("t") == 0, F.coalesce("control_weight", F.lit(1.0))).otherwise(1.0)))
 
     # Stage 1: an outcome model per campaign and arm, where the arm is large enough.
-    counts = rows.groupBy(CAMPAIGN, "t").agg(
-        F.count_if(~F.col("is_val")).alias("n_train"),
-        F.count_if("is_val").alias("n_val"),
-        F.sum(F.when(~F.col("is_val"), F.col("y"))).alias("positives"),
-    ).collect()
     means = {r["t"]: r["m"] for r in rows.filter("part = 'train'").groupBy("t").agg(F.avg("y").alias("m")).collect()}
-
-    def enough(r) -> bool:
-        least = LEAST_TREATED if r["t"] == 1 else LEAST_CONTROL
-        return r["n_train"] >= least[0] and r["n_val"] >= least[1] and 0 < (r["positives"] or 0) < r["n_train"]
-
-    def fit_arm(key):
-        campaign, arm = key
-        part = rows.filter((F.col(CAMPAIGN) == campaign) & (F.col("t") == arm))
-        est = T.boosted_classifier("y", iterations, depth=3, validationIndicatorCol="is_val", weightCol="w")
-        return key, est.fit(part)
-
-    keys = [(r[CAMPAIGN], r["t"]) for r in counts if enough(r)]
-    # The fits are independent Spark jobs; a few run side by side.
-    with ThreadPoolExecutor(parallel) as pool:
-        models = dict(pool.map(fit_arm, keys))
+    coded = rows.withColumn("x", vector_to_array("features"))
+    fit_rows = coded.join(enough_rows(rows), [CAMPAIGN, "t"], "left_semi").withColumn("arm", _arm(F.col("t")))
+    outcomes = boosting.fit(
+        fit_rows, "x", "y", boosting.LOGISTIC, rounds=iterations, depth=3, least=5,
+        weight="w", validation="is_val", by="arm",
+    )
 
     # Expected outcome of each row under the other arm.
-    parts = []
-    for campaign in sorted({r[CAMPAIGN] for r in counts}):
-        for arm in (1, 0):
-            part = rows.filter((F.col(CAMPAIGN) == campaign) & (F.col("t") == arm))
-            other = models.get((campaign, 1 - arm))
-            if other is None:
-                part = part.withColumn("mu", F.lit(float(means.get(1 - arm, 0.5))))
-            else:
-                part = other.transform(part).withColumn("mu", vector_to_array("probability")[1])
-            parts.append(part.select(*IDS, "t", "is_val", "features", "y", "mu"))
+    met = outcomes.score(coded.withColumn("other", _arm(1 - F.col("t"))), "x", "own_mu", by="other")
+    mean = F.when(F.col("t") == 1, F.lit(float(means.get(0, 0.5)))).otherwise(F.lit(float(means.get(1, 0.5))))
+    gap = F.col("y") - F.coalesce("own_mu", mean)
     pseudo = durable(
-        union_all(parts).withColumn("d", F.when(F.col("t") == 1, F.col("y") - F.col("mu")).otherwise(F.col("mu") - F.col("y")))
+        met.withColumn("d", F.when(F.col("t") == 1, gap).otherwise(-gap)).select(*IDS, "t", "is_val", "features", "d")
     )
 
     # Stage 2: one effect model per arm.
@@ -154,7 +156,8 @@ def fit_x_learner(table: DataFrame, iterations: int = 60, parallel: int = 4) ->
 
     with ThreadPoolExecutor(2) as pool:
         tau1, tau0 = pool.map(fit_effect, (1, 0))
-    return XLearner(inputs, fills, texts, tau1, tau0, shares, models)
+    fitted = [(c, int(a)) for c, a in (m.rsplit("|", 1) for m in outcomes.models)]
+    return XLearner(inputs, fills, texts, tau1, tau0, shares, fitted)
 
 
 def best_campaign(scored: DataFrame) -> DataFrame:

@@ -225,6 +225,17 @@ def test_x_learner_scores_every_row_and_unseen_campaigns(spark):
     assert best["customer_id"].is_unique
 
 
+def test_outcome_models_need_enough_rows_of_both_outcomes(spark):
+    def arm(c, t, n_train, n_val, positives):
+        rows = [(c, t, False, float(i < positives)) for i in range(n_train)]
+        return rows + [(c, t, True, 0.0) for _ in range(n_val)]
+
+    rows = arm("a", 1, 20, 5, 3) + arm("a", 0, 10, 3, 9) + arm("b", 1, 19, 9, 3) + arm("b", 0, 10, 2, 3)
+    rows += arm("c", 1, 30, 9, 0) + arm("c", 0, 30, 9, 30)
+    df = spark.createDataFrame(rows, "campaign_id string, t int, is_val boolean, y double")
+    assert sorted(tuple(r) for r in UP.enough_rows(df).collect()) == [("a", 0), ("a", 1)]
+
+
 def test_fills_come_from_the_training_rows(spark):
     train = spark.createDataFrame(pd.DataFrame({"a": [1.0, 3.0, 100.0], "b": ["x", "x", "y"]}))
     assert T.column_medians(train, ["a"]) == {"a": 3.0}
