@@ -149,6 +149,9 @@ def test_users_meet_only_blocks_that_can_matter(spark, monkeypatch):
         want = [f"P{j:02d}" for _, j in sorted(score)[:6]]
         assert got[got.customer_id == f"C{i:02d}"].sort_values("rank")["product_id"].tolist() == want
     assert factors.recommend_all(factors.Factors(users, items.limit(0), []), seen, 6).count() == 0
+    # No user is sent to blocks of items, and no item to blocks of users.
+    plan = factors.recommend_all(factors.Factors(users, items, []), seen, 6, block_items=8)._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
 
 
 def test_scores_of_one_user_leave_out_what_is_seen(spark):
