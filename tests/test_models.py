@@ -68,6 +68,17 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, cell, block):
         assert [(pytest.approx(d), o, n) for d, o, n in want] == got[name]
 
 
+def test_points_are_not_sent_to_cells(spark, monkeypatch):
+    """Evenly spread points, of which many cells are near: each is compared where it is, with all cells' points."""
+    monkeypatch.setattr(NB, "CELL_POINTS", 4)
+    met, write = [], NB.write_blocks
+    monkeypatch.setattr(NB, "write_blocks", lambda df, *by: met.append(df.count()) or write(df, *by))
+    x = np.random.default_rng(23).random((80, 6))
+    df = spark.createDataFrame([(f"q{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)], "return_id string, v array<double>")
+    got = RET.local_outlier_scores(df, ["return_id"], 5).toPandas().sort_values("return_id")
+    assert np.allclose(got["lof_score"], _lof(x, 5)) and met == [80]
+
+
 def test_outlier_factors_of_small_tables(spark):
     one = spark.createDataFrame([("a", [1.0, 2.0])], "id string, v array<double>")
     assert [r.lof_score for r in RET.local_outlier_scores(one, ["id"]).collect()] == [1.0]
