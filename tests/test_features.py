@@ -171,3 +171,31 @@ def test_forbidden_columns_fail_loudly():
         C.refuse_columns(["lag_2w", "net_revenue"], FT.FORECAST_FORBIDDEN)
     C.refuse_columns(FT.CHURN_NUMERIC, FT.CHURN_FORBIDDEN)
     C.refuse_columns(FT.UPLIFT_NUMERIC + FT.UPLIFT_CATEGORICAL, FT.UPLIFT_FORBIDDEN)
+
+
+def test_return_events_are_the_items_row_for_row(spark):
+    """Nulls, an item with two returns, and products and customers that come twice or not at all."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    from shelfsense.plans import marts
+
+    make = spark.createDataFrame
+    day = dt.date(2024, 1, 1)
+    items = [("i1", "o1", "p1"), ("i2", "o1", "p2"), ("i3", "o2", None), ("i4", "o3", "p9"), ("i5", "lost", "p1"), (None, "o2", "p1")]
+    for copies in (1, 2):
+        s = SimpleNamespace(
+            order_items=make(items, "order_item_id string, order_id string, product_id string").withColumns({"item_discount_pct": F.lit(0.1)}),
+            completed_orders=make([("o1", "c1"), ("o2", None), ("o3", "c2")], "order_id string, customer_id string").withColumns(
+                {"order_date": F.lit(day), "channel": F.lit("app"), "payment_type": F.lit("card")}
+            ),
+            products=make([("p1",)] * copies + [("p2",), (None,), (None,)], "product_id string").withColumns(
+                {c: F.lit("x") for c in ("category", "subcategory", "price_tier", "return_risk_seed")}
+            ),
+            customers=make([("c1",)] * copies + [("c2",)], "customer_id string").withColumns({"region": F.lit("r"), "loyalty_tier": F.lit("l")}),
+            returns=make([("i1", "r1"), ("i1", "r2"), ("i4", "r3"), (None, "r4")], "order_item_id string, return_id string").withColumns(
+                {"return_request_date": F.lit(day), **{c: F.lit("x") for c in ("return_reason", "refund_amount", "return_status", "return_channel")}}
+            ),
+        )
+        got = marts.return_events(s)
+        assert Counter(got.collect()) == Counter(marts.return_items(s).select(*got.columns).collect())
