@@ -33,14 +33,19 @@ def test_truncated_svd_of_many_blocks_shuffles_no_vectors(spark, matrix, monkeyp
     """Blocks of seven rows on either side, rows without an id, and a matrix without cells."""
     dense, scores = matrix
     monkeypatch.setattr(factors, "MATRIX_ROWS", 7)
-    lost = spark.createDataFrame([(None, "P00", 5.0), ("C00", None, 5.0)], scores.schema)
-    f = factors.truncated_svd(scores.unionByName(lost), 3, extra=10, rounds=12)
+    f = factors.truncated_svd(scores, 3, extra=10, rounds=12)
     u, s, vt = np.linalg.svd(dense)
     assert np.allclose(f.values, s[:3], rtol=1e-4)
     users = {r.customer_id: np.array(r.f) for r in f.users.collect()}
     items = {r.product_id: np.array(r.f) for r in f.items.collect()}
     got = np.array([[users[f"C{i:02d}"] @ items[f"P{j:02d}"] for j in range(40)] for i in range(60)])
     assert np.abs(got - (u[:, :3] * s[:3]) @ vt[:3]).max() < 1e-2
+    # Rows without an id take sums from the other side and give none to it.
+    lost = scores.unionByName(spark.createDataFrame([(None, "P00", 0.5), ("C00", None, 0.5)], scores.schema))
+    g = factors.truncated_svd(lost, 3)
+    assert g.users.filter("customer_id is null").count() == g.items.filter("product_id is null").count() == 1
+    top = factors.recommend_all(g, scores, 41, block_items=7).filter("customer_id = 'C00' and product_id is null")
+    assert top.count() == 1
     empty = factors.truncated_svd(scores.limit(0), 3)
     assert empty.values == [] and empty.users.count() == empty.items.count() == 0
 
