@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import Scratch, components, free, words
+from shelfsense.llm.common import Scratch, components, free, star_links, words
 
 SHINGLE = 5
 REGISTERS = 128
@@ -250,8 +250,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = scratch.keep(banded.join(pivots, "key"), "shared")
     first = shared.filter((F.col("node") > F.col("pivot")) & _may_link("", "p")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = scratch.keep(first, "first")
-    links = _linked(first, nodes, docs, scratch)
-    roots = scratch.keep(components(links, scratch).withColumnRenamed("node", "linked"), "roots")
+    links, roots = star_links(first, lambda pairs: _linked(pairs, nodes, docs, scratch), scratch)
+    roots = roots.withColumnRenamed("node", "linked")
 
     # What is still apart in a band: the members outside the pivot's component against all others.
     members = shared.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", "s1", "s2", F.coalesce("root", "node").alias("root"))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shelfsense.llm import bag_minhash, fuzzy_lines, spaced_seeds
-from shelfsense.llm.common import Scratch, components
+from shelfsense.llm.common import Scratch, components, star_links
 from tests.llm.conftest import prose
 
 
@@ -34,6 +34,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
+def test_a_member_is_compared_with_its_other_pivots_only_while_apart(spark):
+    # Members 10 to 59 share a key with each of the pivots 1 to 8. All link to 1 but 58, which links to 7, and 59 to none.
+    pairs = spark.createDataFrame([(p, m) for m in range(10, 60) for p in range(1, 9)] + [(1, 7)], "a long, b long")
+    compared = []
+
+    def linked(some):
+        mine = [(r.a, r.b) for r in some.collect()]
+        compared.extend(mine)
+        good = [(a, b) for a, b in mine if a == 1 and b < 58 or (a, b) == (7, 58)]
+        return spark.createDataFrame(good, "a long, b long")
+
+    scratch = Scratch(spark, "test")
+    links, roots = star_links(pairs, linked, scratch)
+    assert len(compared) == len(set(compared)) <= 51 + 48 * 6 + 2 * 7
+    assert {r.node: r.root for r in roots.collect()} == grouped([(r.a, r.b) for r in links.collect()], [1, 7, *range(10, 59)])
+    assert (7, 58) in {(r.a, r.b) for r in links.collect()} and (1, 7) in compared
+    # With one component a member is compared once, whatever the number of its keys.
+    compared.clear()
+    linked_all = lambda some: compared.extend(some.collect()) or some
+    _, roots = star_links(spark.createDataFrame([(p, m) for m in range(10, 60) for p in range(1, 9)] + [(1, p) for p in range(2, 9)], "a long, b long"), linked_all, scratch)
+    assert len(compared) == 57 and {r.root for r in roots.collect()} == {1}
+    assert star_links(spark.createDataFrame([], "a long, b long"), linked_all, scratch)[1].count() == 0
+
+
 def test_register_agreement_is_the_weighted_similarity():
     rng = np.random.default_rng(2)
     n, m = 60, 4096
