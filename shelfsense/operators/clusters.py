@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -19,24 +19,34 @@ from pyspark.sql import functions as F
 
 #: Rows that starting centres are drawn from: those with the least hash of their values.
 SAMPLE_ROWS = 20_000
+#: Numbers of a table of rows by centres that are worked on at a time, so that they stay in a core's cache.
+CACHED = 262_144
 
 
 def as_array(df: DataFrame, vector: str) -> Column:
     return vector_to_array(vector) if isinstance(df.schema[vector].dataType, VectorUDT) else F.col(vector)
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Vectors of a batch as the rows of a matrix."""
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (widths != widths[0]).any():
+        raise ValueError("vectors must be present and of one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def summed(df: DataFrame, vector: str, length: int, measure: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all rows of a measure that gives ``length`` numbers for a batch of rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
-        for pdf in batches:
-            if len(pdf):
-                total += measure(np.stack(pdf["v"].to_numpy()).astype(float))
+        for batch in batches:
+            if len(batch):
+                total += measure(_matrix(batch.column(0)))
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"place": some.astype("int32"), "value": total[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype("int32")), pa.array(total[some])], ["place", "value"])
 
-    parts = df.select(as_array(df, vector).alias("v")).mapInPandas(run, "place int, value double")
+    parts = df.select(as_array(df, vector).cast("array<double>").alias("v")).mapInArrow(run, "place int, value double")
     out = np.zeros(length)
     for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect():
         out[r["place"]] = r["value"]
@@ -50,6 +60,44 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return d
 
 
+def _pieces(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of so many rows that a table of them by ``columns`` stays in a core's cache."""
+    step = max(1, CACHED // max(columns, 1))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _nearest(x: np.ndarray, sets: Sequence[np.ndarray]) -> np.ndarray:
+    """Number of each row's nearest centre, the first of equally near ones, in every set.
+
+    Matrix products compare the distances; where two of them differ by little, they are computed anew.
+    """
+    edges, every = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate(sets)
+    norms = (every**2).sum(axis=1)
+    label = np.zeros((len(sets), len(x)), dtype=np.int64)
+    for rows in _pieces(len(x), len(every)):
+        part = x[rows]
+        rough = norms[:, None] - 2.0 * (every @ part.T)
+        # Far above the rounding error of the products.
+        slack = 1e-10 * (norms.max() + (part**2).sum(axis=1))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            own, place = rough[a:b], label[i, rows]
+            near = own <= own.min(axis=0) + slack
+            for c in range(1, b - a):
+                np.copyto(place, c, where=near[c])
+            doubt = np.flatnonzero(near.sum(axis=0, dtype=np.int32) != 1)
+            if len(doubt):
+                place[doubt] = _squares(part[doubt], sets[i]).argmin(axis=1)
+    return label
+
+
+def _square_to(columns: np.ndarray, centres: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Square distance of each row, given by columns, to the centre of its label."""
+    d = np.zeros(len(label))
+    for j, column in enumerate(columns):
+        d += (column - centres[label, j]) ** 2
+    return d
+
+
 # --- k-means -----------------------------------------------------------------------------
 
 
@@ -104,22 +152,22 @@ def lloyd(df: DataFrame, vector: str, starts: Sequence[KMeansFit], iterations: i
     fits = list(starts)
     moving = list(range(len(fits)))
 
-    def measured(active: list[KMeansFit]) -> tuple[np.ndarray, np.ndarray]:
+    def measured(active: list[KMeansFit], cost: bool = False) -> tuple[np.ndarray, np.ndarray]:
         sizes = [f.k for f in active]
         edges = np.concatenate([[0], np.cumsum(sizes)])
         width = active[0].centres.shape[1]
-        every = np.concatenate([f.centres for f in active])
+        centres = [f.centres for f in active]
 
         def measure(x: np.ndarray) -> np.ndarray:
-            squares = _squares(x, every)
+            columns = np.ascontiguousarray(x.T)
             out = np.zeros((edges[-1], width + 2))
-            for a, b in zip(edges[:-1], edges[1:]):
-                own = squares[:, a:b]
-                label = own.argmin(axis=1)
+            for label, own, a, b in zip(_nearest(x, centres), centres, edges[:-1], edges[1:]):
                 out[a:b, 0] = np.bincount(label, minlength=b - a)
-                out[a:b, 1] = np.bincount(label, weights=own[np.arange(len(x)), label], minlength=b - a)
+                if cost:
+                    out[a:b, 1] = np.bincount(label, weights=_square_to(columns, own, label), minlength=b - a)
+                    continue
                 for j in range(width):
-                    out[a:b, 2 + j] = np.bincount(label, weights=x[:, j], minlength=b - a)
+                    out[a:b, 2 + j] = np.bincount(label, weights=columns[j], minlength=b - a)
             return out.ravel()
 
         return edges, summed(df, vector, int(edges[-1]) * (width + 2), measure).reshape(-1, width + 2)
@@ -137,7 +185,7 @@ def lloyd(df: DataFrame, vector: str, starts: Sequence[KMeansFit], iterations: i
             if shift > tolerance**2:
                 still.append(i)
         moving = still
-    edges, sums = measured(fits)
+    edges, sums = measured(fits, cost=True)
     return [KMeansFit(f.seed, f.centres, float(sums[a:b, 1].sum())) for f, a, b in zip(fits, edges[:-1], edges[1:])]
 
 
@@ -152,8 +200,8 @@ def silhouettes(df: DataFrame, vector: str, fits: Sequence[KMeansFit]) -> list[f
     width, sizes = fits[0].centres.shape[1], [f.k for f in fits]
     edges = np.concatenate([[0], np.cumsum(sizes)])
 
-    def labels(x: np.ndarray) -> list[np.ndarray]:
-        return [_squares(x, f.centres).argmin(axis=1) for f in fits]
+    def labels(x: np.ndarray) -> np.ndarray:
+        return _nearest(x, [f.centres for f in fits])
 
     def moments(x: np.ndarray) -> np.ndarray:
         out = np.zeros((edges[-1], width + 2))
@@ -219,9 +267,14 @@ class Mixture:
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:
         """Log of weight times density, a column per component."""
-        out = np.tile(np.log(np.maximum(self.weights, 1e-300)) - 0.5 * np.log(2 * np.pi * self.variances).sum(axis=1), (len(x), 1))
-        for j in range(x.shape[1]):
-            out -= 0.5 * (x[:, j, None] - self.means[None, :, j]) ** 2 / self.variances[None, :, j]
+        return self.logs_by_component(np.ascontiguousarray(x.T)).T
+
+    def logs_by_component(self, columns: np.ndarray) -> np.ndarray:
+        """The same for rows given by columns, a row per component."""
+        head = np.log(np.maximum(self.weights, 1e-300)) - 0.5 * np.log(2 * np.pi * self.variances).sum(axis=1)
+        out = np.tile(head[:, None], columns.shape[1])
+        for j, column in enumerate(columns):
+            out -= 0.5 * (column - self.means[:, j, None]) ** 2 / self.variances[:, j, None]
         return out
 
 
@@ -243,14 +296,18 @@ def expectation_maximisation(
         def measure(x: np.ndarray) -> np.ndarray:
             out, tail = np.zeros((edges[-1], 2 * width + 1)), np.zeros(len(active) + 1)
             tail[-1] = len(x)
+            columns = np.ascontiguousarray(x.T)
+            # Weights, first and second moments are one product of the shares with these.
+            powers = np.concatenate([np.ones((len(x), 1)), x, x**2], axis=1)
             for i, (f, a, b) in enumerate(zip(active, edges[:-1], edges[1:])):
-                logs = f.log_densities(x)
-                top = logs.max(axis=1, keepdims=True)
-                share = np.exp(logs - top)
-                whole = share.sum(axis=1, keepdims=True)
-                tail[i] = (top + np.log(whole)).sum()
-                share /= whole
-                out[a:b, 0], out[a:b, 1 : width + 1], out[a:b, width + 1 :] = share.sum(axis=0), share.T @ x, share.T @ x**2
+                for rows in _pieces(len(x), f.k):
+                    logs = f.logs_by_component(columns[:, rows])
+                    top = logs.max(axis=0)
+                    share = np.exp(logs - top)
+                    whole = share.sum(axis=0)
+                    tail[i] += (top + np.log(whole)).sum()
+                    share /= whole
+                    out[a:b] += share @ powers[rows]
             return np.concatenate([out.ravel(), tail])
 
         found = summed(df, vector, cells + len(active) + 1, measure)
@@ -286,8 +343,9 @@ def fit_mixtures(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 42,
 
     def moments(x: np.ndarray) -> np.ndarray:
         out = np.zeros((edges[-1], 2 * width + 1))
-        for f, a, b in zip(fits, edges[:-1], edges[1:]):
-            own = np.eye(f.k)[_squares(x, f.centres).argmin(axis=1)]
+        labels = _nearest(x, [f.centres for f in fits])
+        for f, label, a, b in zip(fits, labels, edges[:-1], edges[1:]):
+            own = np.eye(f.k)[label]
             out[a:b, 0], out[a:b, 1 : width + 1], out[a:b, width + 1 :] = own.sum(axis=0), own.T @ x, own.T @ x**2
         return out.ravel()
 
