@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsense.functions import columns as C
-from shelfsense.operators import splits
+from shelfsense.operators import ordered, splits
 from shelfsense.plans import features as FT
 from shelfsense.plans import recommend as rec
 from shelfsense.plans.returns import class_weight
@@ -199,3 +199,98 @@ def test_return_events_are_the_items_row_for_row(spark):
         )
         got = marts.return_events(s)
         assert Counter(got.collect()) == Counter(marts.return_items(s).select(*got.columns).collect())
+
+
+def _return_staging(spark):
+    """Items with two returns, ids that come twice or are null, and products that come twice or not at all."""
+    from types import SimpleNamespace
+
+    make = spark.createDataFrame
+    ids = [f"i{k}" for k in range(60)] + ["i3", None]
+    items = [(i, f"o{k % 17}", None if k % 13 == 5 else f"p{k % 4}", 0.01 * k) for k, i in enumerate(ids)]
+    orders = [(f"o{k}", None if k == 4 else f"c{k % 3}", dt.date(2024, 1, 1 + k % 5)) for k in range(16)]
+    returns = [(f"i{k % 50}", f"r{k}") for k in range(0, 90, 4)]
+    return SimpleNamespace(
+        order_items=make(items, "order_item_id string, order_id string, product_id string, item_discount_pct double").withColumns(
+            {c: F.lit(1.0) for c in ("quantity", "item_list_price", "item_net_price", "item_cost", "item_margin", "fulfillment_type")}
+        ),
+        completed_orders=make(orders, "order_id string, customer_id string, order_date date").withColumns(
+            {c: F.lit("x") for c in ("channel", "payment_type")}
+        ),
+        products=make([("p0", "a"), ("p1", "b"), ("p1", "c"), ("p2", "d")], "product_id string, category string").withColumns(
+            {c: F.lit("x") for c in ("subcategory", "price_tier", "return_risk_seed")}
+        ),
+        customers=make([("c0", "n"), ("c1", "s")], "customer_id string, region string").withColumns({"loyalty_tier": F.lit("l")}),
+        returns=make(returns, "order_item_id string, return_id string").withColumns(
+            {"return_request_date": F.lit(dt.date(2024, 2, 1)), **{c: F.lit("x") for c in ("return_reason", "refund_amount", "return_status", "return_channel")}}
+        ),
+    )
+
+
+def test_returns_mart_is_its_histories_joined_by_item_and_writes_nothing(spark, monkeypatch):
+    from collections import Counter
+
+    from shelfsense.plans import marts
+
+    s = _return_staging(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    written, durable = [], ordered.durable
+    monkeypatch.setattr(ordered, "durable", lambda df: written.append(df) or durable(df))
+    try:
+        mart = marts.returns_risk(s)
+        names = ["order_item_id", "order_id", "category", "return_id", "prior_customer_return_rate", "recent_product_return_events", "customer_item_recency_rank"]
+        got = Counter(mart.select(*names).collect())
+        plan = mart._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert not written and "Scan parquet" not in plan
+    items = marts.return_items(s)
+    by_customer = marts.customer_return_history(items).select("order_item_id", "prior_customer_return_rate", "customer_item_recency_rank")
+    by_product = marts.product_return_history(items).select("order_item_id", "recent_product_return_events")
+    joined = items.join(by_customer, "order_item_id").join(by_product, "order_item_id")
+    assert got == Counter(joined.select(*names).collect())
+
+
+def test_hot_groups_get_the_histories_of_plain_windows(spark):
+    from collections import Counter
+
+    from shelfsense.plans import marts
+
+    items = marts.return_items(_return_staging(spark)).select("order_item_id", "customer_id", "product_id", "order_date", "return_id", "return_flag")
+    for history, key, hot in (
+        (marts.customer_return_history, "customer_id", [None, "c1"]),
+        (marts.product_return_history, "product_id", ["p1", None]),
+    ):
+        assert Counter(history(items, hot=hot).collect()) == Counter(history(items, hot=[]).collect())
+    assert set(ordered.hot_values(items, "customer_id", least=4)) == {"c0", "c1", "c2", None}
+    assert ordered.hot_values(items, "customer_id") == []
+    usual, crowded = ordered.split_hot(items, "customer_id", [None])
+    assert {r.customer_id for r in crowded.collect()} == {None}
+    assert usual.count() + crowded.count() == items.count() and usual.filter("customer_id is null").isEmpty()
+
+
+def test_prices_and_inventory_share_one_written_table(spark, tmp_path):
+    from checks.registry import Space
+
+    folder = str(tmp_path)
+    day = dt.datetime(1995, 3, 1)
+    orders = [(1, 7, "F", 10.0, day, "1-URGENT"), (2, 8, "O", 20.0, day, "3-MEDIUM")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(
+        f"{folder}/orders.parquet"
+    )
+    lines = [(1, 11, 3.0, 300.0, 0.02, "R"), (1, 11, 2.0, 600.0, 0.08, "N"), (2, 12, 5.0, 900.0, 0.0, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(
+        f"{folder}/lineitem.parquet"
+    )
+    x = Space(spark, folder)
+    prices = {(r.product_id, r.store_id_or_online): (r.listed_price, r.discount_pct, r.promo_flag, r.markdown_flag) for r in x.raw("daily_prices").collect()}
+    assert prices == {("P11", "ONLINE"): (2.0, 0.4, True, True), ("P12", "S2"): (3.0, 0.0, False, False)}
+    stock = [(r.product_id, r.starting_inventory, r.ending_inventory, r.stock_received, r.backorder_flag) for r in x.raw("daily_inventory").collect()]
+    assert stock == [("P11", 7, 4, 3, True)]
+    assert list(x._marts) == ["raw_daily"]
+
+
+def test_shuffles_start_with_more_partitions_than_the_session_names(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
