@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from shelfsense.operators import evaluation as E
@@ -159,6 +160,61 @@ def test_users_meet_only_blocks_that_can_matter(spark, monkeypatch):
     assert "CoGroup" not in plan and "Generate" not in plan
 
 
+def test_full_lists_take_few_cells_of_a_block(monkeypatch):
+    """Single precision finds the cells to score and the bounds; what is found is that of all cells in double."""
+    rng = np.random.default_rng(23)
+    n, m, k, size = 40, 900, 5, 100
+    u, v = rng.normal(size=(n, 6)), rng.normal(size=(m, 6))
+    v = v[np.argsort(-np.linalg.norm(v, axis=1))]
+    v[300:310] = v[5]  # equal scores
+    entry = pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64())]))
+    kinds = [[(f"a={j % 7}", 0.6), (f"b={j % 5}", 0.6), (f"c={j % 4}", 0.5)] for j in range(m)]
+    tastes = [[(f"{f}={x}", float(rng.random())) for f, top in (("a", 7), ("b", 5), ("c", 4)) for x in range(top)] for _ in range(n)]
+    as_entries = lambda rows: pa.array([[{"key": a, "value": b} for a, b in r] for r in rows], entry)
+    seen = [sorted(rng.choice(m, 20, replace=False).tolist()) for _ in range(n)]
+    own = factors._Users(pa.table({"customer_id": [f"C{i}" for i in range(n)], "f": pa.array(list(u)), "profile": as_entries(tastes), "seen": seen}), True, k, 3)
+    names = [f"P{j:03d}" for j in range(m)]
+    blocks = [
+        factors._Block(pa.table({"product_id": names[b : b + size], "f": pa.array(list(v[b : b + size])), "content": as_entries(kinds[b : b + size]), "idx": np.arange(b, b + size)}), own, b)
+        for b in range(0, m, size)
+    ]
+    counted = []
+    plain = factors._Users.latent_of
+    monkeypatch.setattr(factors._Users, "latent_of", lambda self, users, block, items: (counted.append(len(users)), plain(self, users, block, items))[1])
+    every, taken = np.arange(n), [[], [], []]
+    for block in blocks:
+        own.bounds(block, every, False)
+    dense = u @ v.T
+    np.testing.assert_allclose(own.high, dense.max(axis=1), rtol=1e-12)
+    np.testing.assert_allclose(own.low, dense.min(axis=1), rtol=1e-12)
+    assert sum(counted) < n * m / 20
+    halves = {tuple(r): (r[:2], r[2:]) for r in kinds}
+    text = lambda r: str(r)
+    own.least[:], own.most[:] = np.inf, -np.inf
+    pairs = list(halves.values())
+    own.content_bounds(
+        factors._Kinds(pa.table({"head": as_entries([a for a, _ in pairs]), "tail": as_entries([b for _, b in pairs]), "head_key": [text(a) for a, _ in pairs], "tail_key": [text(b) for _, b in pairs]}), own.index)
+    )
+    mixed = np.array([[sum(dict(t).get(f, 0.0) * w for f, w in r) for r in kinds] for t in tastes])
+    np.testing.assert_allclose(own.most, mixed.max(axis=1), rtol=1e-12)
+    np.testing.assert_allclose(own.least, mixed.min(axis=1), rtol=1e-12)
+    shares = [1.0, 0.8, 0.0]
+    for block in blocks:
+        for s, share in enumerate(shares):
+            full = own.score[s, :, k - 1] > -np.inf
+            own.score_all(s, block, every[~full], share)
+            counted.clear()
+            own.score_some(s, block, every[full], share)
+            taken[s].append(sum(counted))
+    assert sum(taken[0]) < n * m / 20 and sum(taken[1]) < n * m / 20
+    for s, share in enumerate(shares):
+        low, high, least, most = (x[:, None] for x in (dense.min(axis=1), dense.max(axis=1), mixed.min(axis=1), mixed.max(axis=1)))
+        want = np.round(share * (dense - low) / (high - low + 1e-9) + (1 - share) * (mixed - least) / (most - least + 1e-9), 10)
+        for i in range(n):
+            want[i, seen[i]] = -np.inf
+            assert own.item[s, i].tolist() == [f"={names[j]}" for j in np.lexsort((names, -want[i]))[:k]]
+
+
 def test_scores_of_one_user_leave_out_what_is_seen(spark):
     f = factors.Factors(
         spark.createDataFrame([("a", [1.0, 2.0])], "customer_id string, f array<double>"),
