@@ -253,6 +253,40 @@ def test_returns_mart_is_its_histories_joined_by_item_and_writes_nothing(spark,
     assert got == Counter(joined.select(*names).collect())
 
 
+def test_rows_without_a_key_on_the_other_side_stay_out_of_the_shuffle(spark):
+    from shelfsense.operators.joins import may_match
+
+    rows = spark.range(40_000).select(F.concat(F.lit("O"), "id").alias("order_id"), F.col("id").alias("n"))
+    keys = rows.filter("n % 4 = 0").select("order_id")
+    near = may_match(rows.unionByName(spark.createDataFrame([(None, -1)], "order_id string, n long")), keys.unionByName(keys), "order_id")
+    assert near.columns == ["order_id", "n"]
+    assert near.filter("n % 4 = 0").count() == 10_000 and near.filter("n < 0").isEmpty()
+    assert near.filter("n % 4 <> 0").count() < 30_000 / 4
+    assert may_match(rows, keys.limit(0), "order_id").isEmpty()
+    assert "Exchange hashpartitioning(order_id" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_joins_the_returns_mart_as_late_as_it_can(spark):
+    """What a row of an early shuffle carries is what a later step needs."""
+    from types import SimpleNamespace
+
+    from shelfsense.plans import marts
+
+    s = _return_staging(spark)
+    s = SimpleNamespace(**{**vars(s), "products": s.products.filter("category <> 'c'")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = marts.returns_risk(s)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    # The outermost join comes first; the plan has it once for rows that are repeated and once for others.
+    assert [next(k for k in ("product_id", "customer_id", "order_id", "order_item_id") if f"[{k}#" in j) for j in joins[:4]] == [
+        "product_id", "customer_id", "order_id", "order_item_id",
+    ]
+    assert "_map_row" in plan
+
+
 def test_hot_groups_get_the_histories_of_plain_windows(spark):
     from collections import Counter
 
