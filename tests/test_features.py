@@ -326,5 +326,27 @@ def test_prices_and_inventory_share_one_written_table(spark, tmp_path):
     assert list(x._marts) == ["raw_daily"]
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from checks.registry import Space
+    from shelfsense.session import release_shuffles
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    release_shuffles(spark)
+    time.sleep(2)  # what earlier tests have left
+    known = shuffled()
+    Space(spark, str(tmp_path)).stored("counted", lambda: spark.range(1000).groupBy(F.col("id") % 7).count())
+    # Spark deletes them in the background.
+    for _ in range(40):
+        if not shuffled() - known:
+            break
+        time.sleep(0.25)
+    assert not shuffled() - known
+
+
 def test_shuffles_start_with_more_partitions_than_the_session_names(spark):
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
