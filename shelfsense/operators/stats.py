@@ -159,17 +159,19 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int =
         present += [F.lit(0).cast("long")] * (slots - len(present))
         return F.struct(F.lit(i).alias("column"), F.col(f"c{i}").alias("value"), *[v.alias(s) for v, s in zip(present, sums)])
 
-    long = points.select("id", F.inline(F.array(*[cell(i) for i in range(len(columns))]))).filter("value is not null")
+    long = points.select("id", "n", F.inline(F.array(*[cell(i) for i in range(len(columns))]))).filter("value is not null")
     counts = long.groupBy("column", "value").agg(*[F.sum(s).alias(s) for s in sums])
     placed = ordered.positions(counts, ["column"], ["value"], sums={s: s for s in sums}, totals=False)
     ranks = placed.select("column", "value", *[(F.col(f"{s}_before") + (F.col(s) + 1) / 2.0).alias(f"rank_{s}") for s in sums])
-    met = long.select("id", "column", "value").join(ranks, ["column", "value"])
+    met = long.select("id", "n", "column", "value").join(ranks, ["column", "value"])
+    # All cells of a row have its count, so nothing is joined back.
     by_row = met.groupBy("id").agg(
+        F.max("n").alias("n"),
         *[
             F.max(F.when(F.col("column") == i, F.col(f"rank_{s}"))).alias(f"r{i}_{j}")
             for i in range(len(columns))
             for s, j in zip(sums, wanted[i])
-        ]
+        ],
     )
     # A rank is NULL where its column is; a pair counts the rows that have both.
     measures = []
@@ -178,7 +180,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int =
         n = F.when(a.isNotNull() & b.isNotNull(), F.col("n"))
         sides = {"n": n, "sa": n * a, "sb": n * b, "saa": n * a * a, "sbb": n * b * b, "sab": n * a * b}
         measures += [F.sum(v).alias(f"{k}{q}") for k, v in sides.items()]
-    one = points.select("id", "n").join(by_row, "id").agg(*measures)
+    one = by_row.agg(*measures)
     rows = [
         F.struct(
             F.lit(left).alias("left_col"),

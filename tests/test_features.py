@@ -326,6 +326,27 @@ def test_prices_and_inventory_share_one_written_table(spark, tmp_path):
     assert list(x._marts) == ["raw_daily"]
 
 
+def test_files_count_for_more_than_their_size_where_a_broadcast_is_decided(spark, tmp_path):
+    path = tmp_path / "long"
+    spark.range(100_000).write.parquet(str(path))
+    stored = sum(f.stat().st_size for f in path.glob("*.parquet"))
+    assert spark.read.parquet(str(path))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= 4 * stored
+
+
+def test_rank_correlations_join_only_ranks(spark, monkeypatch):
+    from shelfsense.operators import stats as ST
+
+    rows = spark.createDataFrame([(float(i % 7), float(i % 5), None if i % 11 == 0 else float(i)) for i in range(200)], "a double, b double, c double")
+    pairs = ST.spearman_pairs(rows, [("a", "b"), ("a", "c")])
+    pdf = rows.toPandas()
+    got = {r.right_col: (r.n_pairs, r.spearman_r) for r in pairs.collect()}
+    for c in ("b", "c"):
+        both = pdf[["a", c]].dropna()
+        assert got[c][0] == len(both) and got[c][1] == pytest.approx(both["a"].rank().corr(both[c].rank()))
+    # One join of cells with their ranks, and that of the carry between chunks.
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark, tmp_path):
     import time
 
